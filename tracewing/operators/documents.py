@@ -158,8 +158,8 @@ def piece_documents(
 def event_documents(events: DataFrame, time_type: str = "Actual", names: Names = Names()) -> DataFrame:
     """From ``event_code, event_ts, linked_id, location_id, recorder_id`` and, if predicted, ``probability``.
 
-    Events have no identifier of their own; their address is the event list of
-    the object they belong to.
+    Events have no identifier of their own.  Their address is the event list of
+    the object they belong to, with a digest of the text to tell them apart.
     """
     if time_type not in ("Actual", "Predicted"):
         raise ValueError("time_type is Actual or Predicted")
@@ -176,11 +176,17 @@ def event_documents(events: DataFrame, time_type: str = "Actual", names: Names =
         "recordedAtLocation": names.ref("location_id"),
         "recordedBy": names.ref("recorder_id"),
     }
-    url = F.concat(names.url("linked_id"), F.lit("/logistics-events"))
-    return _documents(events, url, "event", _node(names, None, "LogisticsEvent", members))
+    texts = events.select(
+        F.concat(names.url("linked_id"), F.lit("/logistics-events")).alias("list"),
+        F.to_json(_node(names, None, "LogisticsEvent", members)).alias("body"),
+    )
+    return texts.select(
+        F.concat_ws("#", "list", F.md5("body")).alias("doc_url"), F.lit("event").alias("kind"), "body"
+    )
 
 
 def outbox(docs: DataFrame, names: Names = Names()) -> DataFrame:
     """``endpoint, kind, body``: objects go to the object list, events to their object's event list."""
-    endpoint = F.when(F.col("kind") == "event", F.col("doc_url")).otherwise(F.lit(names.base))
+    event_list = F.substring_index("doc_url", "#", 1)
+    endpoint = F.when(F.col("kind") == "event", event_list).otherwise(F.lit(names.base))
     return docs.select(endpoint.alias("endpoint"), "kind", "body")
