@@ -453,8 +453,8 @@ _FILLED = """select event_id, coalesce(w, (select avg(w) from gapped)) w, coales
 
 @query(
     with_views(
-        """select event_id, round((w - (select avg(w) from filled)) / (select stddev_pop(w) from filled), 6) total_weight,
-           round((v - (select avg(v) from filled)) / (select stddev_pop(v) from filled), 6) total_net_volume
+        """select event_id, round((w - (select avg(w) from filled)) / (select stddev_pop(w) from filled), 6) + 0.0 total_weight,
+           round((v - (select avg(v) from filled)) / (select stddev_pop(v) from filled), 6) + 0.0 total_net_volume
            from filled""",
         "milestone_events", gapped=_GAPPED, filled=_FILLED,
     )
@@ -462,7 +462,7 @@ _FILLED = """select event_id, coalesce(w, (select avg(w) from gapped)) w, coales
 def standardize(spark, sf_dir):
     rows = _with_gaps(spark, sf_dir)
     scaled = scaling.standardize(rows, scaling.learn_scales(rows, _NUMERIC))
-    return scaled.withColumns({c: F.round(c, 6) for c in _NUMERIC})
+    return scaled.withColumns({c: F.round(c, 6) + 0.0 for c in _NUMERIC})  # no negative zero
 
 
 @query(
@@ -695,6 +695,11 @@ def event_jsonld_predicted(spark, sf_dir):
     return docs.event_documents(_event_rows(spark, sf_dir), "Predicted", NAMES)
 
 
+def _spread(documents: DataFrame) -> DataFrame:
+    """The given tables are files of one row group, so one task would flatten them; files of documents need no such step."""
+    return documents.repartition(documents.sparkSession.sparkContext.defaultParallelism, "doc_url")
+
+
 def _all_documents(spark, sf_dir) -> DataFrame:
     rows = lines(spark, sf_dir)
     return (
@@ -702,6 +707,7 @@ def _all_documents(spark, sf_dir) -> DataFrame:
         .unionByName(docs.booking_documents(rows, NAMES))
         .unionByName(docs.shipment_documents(rows, NAMES))
         .unionByName(docs.piece_documents(rows, NAMES))
+        .transform(_spread)
     )
 
 
@@ -718,7 +724,7 @@ def jsonld_triples(spark, sf_dir):
 
 @query(with_views(st.event_triples("Predicted"), "scored_events", event_rows=_EVENT_ROWS))
 def jsonld_event_triples(spark, sf_dir):
-    return jsonld.flatten_documents(docs.event_documents(_event_rows(spark, sf_dir), "Predicted", NAMES))
+    return jsonld.flatten_documents(_spread(docs.event_documents(_event_rows(spark, sf_dir), "Predicted", NAMES)))
 
 
 @query(
@@ -729,7 +735,7 @@ def jsonld_event_triples(spark, sf_dir):
     )
 )
 def jsonld_nodes(spark, sf_dir):
-    triples = jsonld.flatten_documents(docs.piece_documents(lines(spark, sf_dir), NAMES))
+    triples = jsonld.flatten_documents(_spread(docs.piece_documents(lines(spark, sf_dir), NAMES)))
     nodes = jsonld.triples_to_nodes(
         triples, {"amount": NAMES.term("numericalValue"), "unit": NAMES.term("unit")}, [NAMES.term("Value")]
     )
@@ -808,7 +814,7 @@ def scored_table_roundtrip(spark, sf_dir):
 @query(with_views(f"select *, 'any' object_kind from ({st.piece_triples()})", "lines"))
 def ingest_roundtrip(spark, sf_dir):
     path = scratch_path(spark, "ingested")
-    flows.ingest(docs.piece_documents(lines(spark, sf_dir), NAMES).withColumn("kind", F.lit("any")), path)
+    flows.ingest(_spread(docs.piece_documents(lines(spark, sf_dir), NAMES)).withColumn("kind", F.lit("any")), path)
     return spark.read.parquet(path)
 
 

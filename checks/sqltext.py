@@ -215,6 +215,7 @@ def piece_triples() -> str:
 
 
 def event_triples(time_type: str) -> str:
+    """Equal events are equal documents, each with its own rows, so nothing is made distinct here."""
     s = "('_:' || md5(doc_url || '$'))"
     rows = [
         _type(s, "LogisticsEvent"), _value(s, "eventCode", "event_code"),
@@ -227,4 +228,5 @@ def event_triples(time_type: str) -> str:
     docs = event_documents(time_type).replace("select list ||", "select r.*, list ||").replace(
         "|| '/logistics-events' list,", "|| '/logistics-events' list, event_rows as r,"
     )
-    return f"select * from ({triples(f'({docs})', 'doc_url', rows)}) where \"value\" is not null"
+    found = triples(f"({docs})", "doc_url", rows).replace(" union select", " union all select")
+    return f"select * from ({found}) where \"value\" is not null"
