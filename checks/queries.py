@@ -751,7 +751,9 @@ def jsonld_nodes(spark, sf_dir):
     )
 )
 def jsonld_ref_join(spark, sf_dir):
-    return jsonld.resolve_refs(jsonld.flatten_documents(_all_documents(spark, sf_dir)))
+    path = scratch_path(spark, "triples")
+    flows.ingest(_all_documents(spark, sf_dir), path)
+    return jsonld.resolve_refs(spark.read.parquet(path))
 
 
 _PIECES = """select awbNo, 'piece-' || event_id piece_id, wgt_chargeable weight,
