@@ -64,7 +64,7 @@ _LINES = """
 select w.waybill_id, w.booking_id, w.shipment_id, l_linenumber sequence,
   concat('transport-movement-', cast(l_suppkey as string)) activity_id,
   concat('piece-', w.shipment_id, '-', cast(l_linenumber as string), '-', cast(l_partkey as string), '-',
-         cast(l_suppkey as string)) piece_id, l_quantity weight
+         cast(l_suppkey as string), '-', cast(cast(l_quantity as bigint) as string)) piece_id, l_quantity weight
 from {lineitem} join {waybills} w on l_orderkey = w.o_orderkey"""
 
 # a third of all rows in one waybill
