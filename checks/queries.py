@@ -14,6 +14,7 @@ from checks.views import (
 from tracewing.functions import columns as cols
 from tracewing.operators import documents as docs
 from tracewing.operators import features, importance, jsonld, learning, metrics, milestones, ranking, scaling, sequence, stats
+from tracewing.operators.skew import with_neighbours
 from tracewing.plans import flows
 from tracewing.session import scratch_path
 from tracewing.sources import readers, writers
@@ -372,10 +373,15 @@ def dlv_pod_duration(spark, sf_dir):
 )
 def hot_waybill_durations(spark, sf_dir):
     """A third of all rows in one waybill, which is cut into chunks."""
-    rows = _dated(spark, sf_dir, HOT_KEY)
-    rows = sequence.hours_to_next(rows, ORDER, max_group_rows=SPLIT_ABOVE)
-    rows = sequence.duration_to_next_event(rows, ORDER, max_group_rows=SPLIT_ABOVE)
-    return rows.select("event_id", "awbNo", "eventDate_diff_hours", "duration_dlv_pod")
+    rows = with_neighbours(
+        _dated(spark, sf_dir, HOT_KEY), ["awbNo"], ORDER, max_group_rows=SPLIT_ABOVE,
+        ahead={"next": F.col("eventDate"), "reached": F.when(F.col("eventCode") == "POD", F.col("eventDate"))},
+    )
+    return rows.select(
+        "event_id", "awbNo",
+        F.coalesce(cols.hours_between("eventDate", "next"), F.lit(0.0)).alias("eventDate_diff_hours"),
+        F.when(F.col("eventCode") == "DLV", cols.hours_between("eventDate", "reached")).alias("duration_dlv_pod"),
+    )
 
 
 # ---- feature tables ------------------------------------------------------------------------------------------------
