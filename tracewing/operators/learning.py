@@ -147,19 +147,23 @@ def train(
     used = [*inputs.flags, *inputs.numeric, *inputs.categories, inputs.target, split]
     labelled = _labelled(rows.select(*dict.fromkeys(used)), inputs, split).where(F.col(LABEL).isNotNull())
     kept = labelled.persist(StorageLevel.MEMORY_AND_DISK)
-    training = kept.where(F.col(split) == TRAIN)
-    prepare = PipelineModel(fit_features(training, inputs))
-    if not isinstance(estimator, Estimator):
-        estimator = estimator(training.count())
-    validated = estimator.hasParam("validationIndicatorCol") and estimator.isDefined("validationIndicatorCol")
-    seen = kept.where(F.col(split).isin(TRAIN, VAL)) if validated else training
-    assembled = prepare.transform(seen).select(FEATURES, LABEL, "_validation").persist(StorageLevel.MEMORY_AND_DISK)
-    fitted = estimator.fit(assembled)
-    assembled.unpersist()
-    model = PipelineModel([*prepare.stages, fitted])
-    metrics = evaluate(model, kept, split)
-    kept.unpersist()
-    return Fitted(model, metrics)
+    try:
+        training = kept.where(F.col(split) == TRAIN)
+        prepare = PipelineModel(fit_features(training, inputs))
+        if not isinstance(estimator, Estimator):
+            estimator = estimator(training.count())
+        validated = estimator.hasParam("validationIndicatorCol") and estimator.isDefined("validationIndicatorCol")
+        seen = kept.where(F.col(split).isin(TRAIN, VAL)) if validated else training
+        assembled = prepare.transform(seen).select(FEATURES, LABEL, "_validation")
+        assembled.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            fitted = estimator.fit(assembled)
+        finally:
+            assembled.unpersist()
+        model = PipelineModel([*prepare.stages, fitted])
+        return Fitted(model, evaluate(model, kept, split))
+    finally:
+        kept.unpersist()
 
 
 def evaluate(model: PipelineModel, labelled: DataFrame, split: str = "train_test_split") -> DataFrame:
@@ -168,9 +172,7 @@ def evaluate(model: PipelineModel, labelled: DataFrame, split: str = "train_test
     if "probability" not in scored.columns:
         metrics = regression_metrics(scored.select(split, LABEL, "prediction"), [split])
     else:
-        slim = scored.select(
-            split, LABEL, "prediction", vector_to_array("probability")[1].alias("_p")
-        ).persist(StorageLevel.MEMORY_AND_DISK)
+        slim = scored.select(split, LABEL, "prediction", vector_to_array("probability")[1].alias("_p"))
         counted = classification_metrics(slim, [split], LABEL, "prediction", "_p")
         metrics = counted.join(ranking_metrics(slim, [split], LABEL, "_p"), split)
     spark = labelled.sparkSession

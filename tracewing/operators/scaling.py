@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import to_double
+from .skew import MAX_GROUP_ROWS, join_on_key
 
 
 @dataclass(frozen=True)
@@ -57,7 +58,9 @@ def standardize(df: DataFrame, scales: Sequence[ColumnScale]) -> DataFrame:
     return df.withColumns({s.name: s.scaled() for s in scales})
 
 
-def one_hot_rows(df: DataFrame, known: DataFrame, columns: Sequence[str], key: str) -> DataFrame:
+def one_hot_rows(
+    df: DataFrame, known: DataFrame, columns: Sequence[str], key: str, max_group_rows: int | None = MAX_GROUP_ROWS
+) -> DataFrame:
     """One-hot coding in long form: ``(key, column, value, known)`` with 1 where training saw the value.
 
     An unseen or NULL value gives ``known = 0``, the indicator for unknown
@@ -67,7 +70,8 @@ def one_hot_rows(df: DataFrame, known: DataFrame, columns: Sequence[str], key: s
         pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])
         return frame.select(*extra, F.inline(pairs))
 
-    seen = long(known).where(F.col("value").isNotNull()).distinct().withColumn("known", F.lit(1))
-    return long(df, key).join(seen, ["column", "value"], "left").select(
-        key, "column", "value", F.coalesce("known", F.lit(0)).alias("known")
-    )
+    pair = F.struct("column", "value").alias("_pair")
+    seen = long(known).where(F.col("value").isNotNull()).distinct().select(pair, F.lit(1).alias("known"))
+    # a common value may hold a large share of the rows
+    joined = join_on_key(long(df, key).select("*", pair), seen, "_pair", "left", max_group_rows)
+    return joined.select(key, "column", "value", F.coalesce("known", F.lit(0)).alias("known"))

@@ -21,14 +21,18 @@ from pyspark.sql import functions as F
 from ..session import settle
 
 MAX_GROUP_ROWS = 4_000_000
+# more chunks of one key than this would not spread better; a chunk then holds 1/4096 of the key
 MAX_CHUNKS = 4096
+ANY_NUMBER = 2**31 - 1
 SAMPLES_PER_CHUNK = 20
 EDGES_PER_BLOCK = 64
 
 CHUNK = "_chunk"
 
 
-def heavy_keys(df: DataFrame, keys: Sequence[str], max_group_rows: int | None) -> DataFrame | None:
+def heavy_keys(
+    df: DataFrame, keys: Sequence[str], max_group_rows: int | None, max_shares: int = MAX_CHUNKS
+) -> DataFrame | None:
     """Keys with more than ``max_group_rows`` rows as ``(_key0.., _rows, _shares)``, or None.
 
     ``_shares`` is the number of pieces the key should be cut into.  The counts
@@ -40,7 +44,7 @@ def heavy_keys(df: DataFrame, keys: Sequence[str], max_group_rows: int | None) -
         df.groupBy(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)])
         .agg(F.count(F.lit(1)).alias("_rows"))
         .where(F.col("_rows") > max_group_rows)
-        .withColumn("_shares", F.least(F.ceil(F.col("_rows") / max_group_rows), F.lit(MAX_CHUNKS)).cast("int"))
+        .withColumn("_shares", F.least(F.ceil(F.col("_rows") / max_group_rows), F.lit(max_shares)).cast("int"))
     )
     counted = settle(counted)
     return None if counted.isEmpty() else counted
@@ -92,15 +96,23 @@ def chunk_edges(df: DataFrame, keys: Sequence[str], order: Sequence[str], max_gr
 
 
 def ordered_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str], edges: DataFrame) -> DataFrame:
-    """Add ``_chunk``: 0 for ordinary keys, else the number of edges at or before the row."""
+    """Add ``_chunk``: 0 for ordinary keys, else the number of edges at or before the row.
+
+    ``_edge`` marks rows that lie on an edge: each chunk but the first begins with one.
+    """
     at = _position(order)
     head = F.size(F.filter("_blocks", lambda b: b[0] <= at))
-    inside = F.size(F.filter(F.get("_blocks", head - 1), lambda e: e <= at))
-    chunk = F.when(F.col("_blocks").isNull() | (head == 0), 0).otherwise((head - 1) * EDGES_PER_BLOCK + inside)
+    block = F.get("_blocks", head - 1)
+    inside = F.size(F.filter(block, lambda e: e <= at))
     joined = df.join(F.broadcast(edges), _same_key(df, keys, edges), "left")
-    return joined.withColumn(CHUNK, chunk).withColumn("_heavy", F.col("_blocks").isNotNull()).drop(
-        *_key_names(keys), "_blocks"
-    )
+    placed = joined.withColumn("_in", F.when(head > 0, F.struct(head.alias("head"), inside.alias("inside"))))
+    return placed.withColumns(
+        {
+            CHUNK: F.coalesce((F.col("_in.head") - 1) * EDGES_PER_BLOCK + F.col("_in.inside"), F.lit(0)),
+            "_heavy": F.col("_blocks").isNotNull(),
+            "_edge": F.coalesce(F.get(F.get("_blocks", F.col("_in.head") - 1), F.col("_in.inside") - 1) == at, F.lit(False)),
+        }
+    ).drop(*_key_names(keys), "_blocks", "_in")
 
 
 def join_on_key(
@@ -138,7 +150,7 @@ def join_on_key(
 
 def split_members(df: DataFrame, key: str, member: str, max_members: int | None) -> DataFrame:
     """Add ``part``: 0 for ordinary keys, else one of enough parts to hold about ``max_members`` each."""
-    heavy = heavy_keys(df, [key], max_members)
+    heavy = heavy_keys(df, [key], max_members, max_shares=ANY_NUMBER)
     if heavy is None:
         return df.withColumn("part", F.lit(0))
     part = F.pmod(F.xxhash64(F.col(member)), F.coalesce(F.col("_shares"), F.lit(1))).cast("int")
@@ -175,30 +187,27 @@ def with_neighbours(
             {n: F.lead(e).over(w) for n, e in ahead.items()} | {n: F.lag(e).over(w) for n, e in behind.items()}
         )
 
-    names = _key_names(keys)
     marked = ordered_chunks(df, keys, order, edges)
-    ends = (
-        marked.where("_heavy")
-        .groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col(CHUNK).alias("_at"))
-        .agg(
-            F.min_by(F.struct(F.lit(1).alias("_"), *[e.alias(n) for n, e in ahead.items()]), _position(order)).alias("_first"),
-            F.max_by(F.struct(F.lit(1).alias("_"), *[e.alias(n) for n, e in behind.items()]), _position(order)).alias("_last"),
-        )
-    )
-    along = Window.partitionBy(*names).orderBy("_at")
-    ends = ends.select(
-        *names, "_at", F.lead("_first").over(along).alias("_first"), F.lag("_last").over(along).alias("_last")
-    )
     w = _shift_window([*keys, CHUNK], order)
-    shifted = marked.withColumns(
+    out = marked.withColumns(
         {"_more": F.lead(F.lit(1)).over(w), "_less": F.lag(F.lit(1)).over(w)}
         | {f"_ahead_{n}": F.lead(e).over(w) for n, e in ahead.items()}
         | {f"_behind_{n}": F.lag(e).over(w) for n, e in behind.items()}
     )
-    joined = shifted.join(
-        F.broadcast(ends), _same_key(shifted, keys, ends) & (shifted[CHUNK] == ends["_at"]) & shifted["_heavy"], "left"
-    )
-    return joined.select(
+    if ahead:
+        # the first row of a chunk lies on an edge, so it is found without grouping
+        first = marked.where("_edge").select(
+            *_aliased(keys), (F.col(CHUNK) - 1).alias("_at"), F.struct(*[e.alias(n) for n, e in ahead.items()]).alias("_first")
+        )
+        out = _join_ends(out, keys, first.dropDuplicates([*_key_names(keys), "_at"]))
+    if behind:
+        last = (
+            marked.where("_heavy")
+            .groupBy(*_aliased(keys), (F.col(CHUNK) + 1).alias("_at"))
+            .agg(F.max_by(F.struct(*[e.alias(n) for n, e in behind.items()]), _position(order)).alias("_last"))
+        )
+        out = _join_ends(out, keys, last)
+    return out.select(
         *df.columns,
         *[
             F.when(F.col("_more").isNull(), F.col(f"_first.{n}")).otherwise(F.col(f"_ahead_{n}")).alias(n)
@@ -209,3 +218,13 @@ def with_neighbours(
             for n in behind
         ],
     )
+
+
+def _aliased(keys: Sequence[str]) -> list[Column]:
+    return [F.col(k).alias(n) for k, n in zip(keys, _key_names(keys))]
+
+
+def _join_ends(rows: DataFrame, keys: Sequence[str], ends: DataFrame) -> DataFrame:
+    """Attach the row beyond a chunk's end; there is one per chunk of a heavy key."""
+    match = _same_key(rows, keys, ends) & (rows[CHUNK] == ends["_at"]) & rows["_heavy"]
+    return rows.join(F.broadcast(ends), match, "left").drop(*_key_names(keys), "_at")
