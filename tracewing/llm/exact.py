@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .tables import SPACE, packed, whole_text
+from .tables import SPACE, packed, stored, whole_text
 
 #: Characters of the normalised text that the second step hashes.
 PREFIX = 256
@@ -64,6 +64,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"))
         .where("n > 1")
     )
+    groups = stored(groups, "exact-groups")  # read from files, both sides of the join can be split where a group is large
     # rows without a digest get keys that no group has, spread over all tasks
     at = F.coalesce(F.col("digest"), F.xxhash64("id", "size").cast("string"))
     joined = rows.withColumn("at", at).join(groups, F.col("at") == F.col("group_digest"), "left")

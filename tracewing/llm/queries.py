@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, urls, warc
-from .tables import table
+from . import bpe, exact, pii, secrets, urls, warc
+from .tables import spans_text, table
 
 ALLOW = (("com", "/"), ("www.example.com", "/en/"))
 BLOCK = (("example.com", "/en/"), ("net", "/es/"), ("net", "/fr/"))
@@ -16,6 +17,40 @@ BLOCK = (("example.com", "/en/"), ("net", "/es/"), ("net", "/fr/"))
 UNWANTED = r"(^|\.)(ads-track|spam-farm|casino-win|adult-x|cheap-pills|free-bets)\."
 
 
+def _span_columns(kinds: tuple[str, ...]) -> list[Column]:
+    """Counts and digests of a ``spans`` column of (begin, place, kind, end)."""
+
+    def of(*names: str) -> Column:
+        return F.filter("spans", lambda s: s["kind"].isin(*names))
+
+    return [
+        *[F.size(of(k)).cast("bigint").alias(f"n_{k}") for k in kinds],
+        F.sha2(spans_text(of(*kinds)), 256).alias("base_sha256"),
+        spans_text(F.col("spans")).alias("spans"),
+    ]
+
+
+def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.round_trip(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
+def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *_span_columns(secrets.BASE))
+
+
+def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    ordered = F.transform(
+        "spans",
+        lambda s: F.struct(
+            s["begin"], F.array_position(F.lit(list(pii.KINDS)), s["kind"]).alias("place"), s["kind"], s["end"]
+        ),
+    )
+    return found.withColumn("spans", ordered).select("doc_id", *_span_columns(pii.BASE))
+
+
 def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     listed = pages.where(urls.host(F.col("url")).rlike(UNWANTED)).select("url")
@@ -33,7 +68,10 @@ def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_byte_bpe": byte_bpe,
     "op3_url_filter": url_filter,
     "op4_warc_revisits": warc_revisits,
+    "op5_secret_scan": secret_scan,
     "op8_exact_dedup": exact_dedup,
+    "op10_personal_data": personal_data,
 }

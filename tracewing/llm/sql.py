@@ -66,8 +66,73 @@ select doc_id, min(doc_id) over same as keep_id, count(*) over same as group_siz
 from texts window same as (partition by norm)
 """
 
+
+def _spans(place: int, kind: str, pattern: str, valid: str) -> str:
+    """Rows (doc_id, b, place, kind, e) of valid matches; a match begins after all texts and matches before it."""
+    quoted = pattern.replace("'", "''")
+    return f"""
+  select doc_id, b, {place} as place, '{kind}' as kind, b + length(found) as e from (
+    select doc_id, m[i] as found, {{inner}} as inner_part,
+      list_sum(list_transform(p[1:i], lambda x: length(x)))::bigint
+        + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0)::bigint as b
+    from (select doc_id, regexp_extract_all(text, '{quoted}') as m, string_split_regex(text, '{quoted}') as p,
+        {{inner_all}} as g from texts), unnest(range(1, len(m) + 1)) as u(i)
+  ) where {valid}""".replace("{inner}", "g[i]").replace(
+        "{inner_all}", f"regexp_extract_all(text, '{quoted}', 2)" if valid.startswith("length(inner_part)") else "m"
+    )
+
+
+def _span_query(spans: list[str], base: tuple[str, ...], setup: str = "") -> str:
+    listed = ", ".join(f"'{k}'" for k in base)
+    counts = ", ".join(f"count(*) filter (kind = '{k}') as n_{k}" for k in base)
+    joined = "string_agg(kind || ':' || b || ':' || e, ',' order by b, place, kind, e)"
+    return f"""
+with texts as (select doc_id, coalesce(text, '') as text from documents),
+found as materialized ({" union all ".join(spans)})
+select doc_id, {counts},
+  sha256(coalesce({joined} filter (kind in ({listed})), '')) as base_sha256, coalesce({joined}, '') as spans
+from texts left join found using (doc_id) group by doc_id
+"""
+
+
+_KEYWORDS = ("password", "passwd", "secret", "token", "api_?key")
+_EITHER_CASE = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in _KEYWORDS)
+
+SECRET_SCAN = _span_query(
+    [
+        _spans(0, "assign", f"""({_EITHER_CASE})["']?\\x20*[:=]\\x20*["']?([A-Za-z0-9+/_.=-]+)""", "length(inner_part) >= 12"),
+        _spans(1, "access", "AKIA[A-Z0-9]+", "length(found) >= 18"),
+        _spans(2, "hex", "[0-9a-f]+", "length(found) >= 16"),
+        _spans(3, "private_key", "-----BEGIN [A-Z ]*PRIVATE KEY-----", "true"),
+        _spans(4, "chat_token", "xox[abprs]-[A-Za-z0-9-]+", "length(found) >= 15"),
+        _spans(5, "web_token", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", "length(found) >= 40"),
+    ],
+    ("assign", "access", "hex"),
+)
+
+_DIGITS = "regexp_replace(found, '[^0-9]', '', 'g')"
+#: Every second digit from the right doubled, nine taken off where that gives two digits.
+_LUHN = f"""list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda i:
+  case when i % 2 = 1 then substr(reverse({_DIGITS}), i, 1)::int
+    else 2 * substr(reverse({_DIGITS}), i, 1)::int - case when substr(reverse({_DIGITS}), i, 1)::int > 4 then 9 else 0 end
+  end)) % 10 = 0"""
+#: The base kinds; iban and ssn need look-around, which RE2 lacks, so on data with such numbers the column spans has
+#: more than this. Tests hold those two against a brute-force search.
+PERSONAL_DATA = _span_query(
+    [
+        _spans(1, "email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true"),
+        _spans(2, "ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+               "len(list_filter(string_split(found, '.'), lambda x: x::hugeint > 255)) = 0"),
+        _spans(3, "card", r"[0-9]([\x20-]?[0-9])+", f"length({_DIGITS}) between 12 and 19 and {_LUHN}"),
+        _spans(4, "phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_DIGITS}) between 9 and 15"),
+    ],
+    ("email", "ip", "card", "phone"),
+)
+
 ORACLES = {
     "op3_url_filter": URL_FILTER,
     "op4_warc_revisits": WARC_REVISITS,
+    "op5_secret_scan": SECRET_SCAN,
     "op8_exact_dedup": EXACT_DEDUP,
+    "op10_personal_data": PERSONAL_DATA,
 }
