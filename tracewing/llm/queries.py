@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, pii, secrets, urls, warc
+from . import bpe, exact, pii, secrets, toxicity, urls, warc
 from .tables import spans_text, table
 
 ALLOW = (("com", "/"), ("www.example.com", "/en/"))
@@ -30,6 +30,19 @@ def _span_columns(kinds: tuple[str, ...]) -> list[Column]:
     ]
 
 
+def held_out(key: str) -> Column:
+    """Rows that no label may be learnt from."""
+    return F.crc32(F.col(key).cast("string").cast("binary")) % 3 == 1
+
+
+def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.learn(docs, labels, ~held_out("id"))
+    scored = toxicity.score(docs, model)
+    predicted = (F.col("score") >= toxicity.THRESHOLD).cast("int")
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", predicted.alias("predicted"))
+
+
 def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.round_trip(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
@@ -68,6 +81,7 @@ def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": toxicity_scores,
     "op2_byte_bpe": byte_bpe,
     "op3_url_filter": url_filter,
     "op4_warc_revisits": warc_revisits,
