@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, pii, secrets, toxicity, urls, warc
+from . import bpe, exact, near, pii, secrets, toxicity, urls, warc
 from .tables import spans_text, table
 
 ALLOW = (("com", "/"), ("www.example.com", "/en/"))
@@ -75,6 +75,12 @@ def warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages"))
 
 
+def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near.near_components(table(spark, sf_dir, "documents"), size=3, numerator=85, denominator=100)
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    return found.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
+
+
 def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return exact.exact_groups(docs, digests=True)
@@ -86,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_url_filter": url_filter,
     "op4_warc_revisits": warc_revisits,
     "op5_secret_scan": secret_scan,
+    "op7_near_duplicates": near_duplicates,
     "op8_exact_dedup": exact_dedup,
     "op10_personal_data": personal_data,
 }

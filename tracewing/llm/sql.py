@@ -57,6 +57,32 @@ select page_id, payload_bytes, payload_digest,
 from firsts
 """
 
+NEAR_DUPLICATES = r"""
+with recursive words as materialized (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+), sets as materialized (
+  select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
+    else list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) end) as s
+  from words
+), classes as materialized (
+  select hash(list_sort(s)) as class, min(doc_id) as rep, any_value(s) as s, len(any_value(s)) as n
+  from sets where len(s) > 0 group by 1
+), items as materialized (select class, n, unnest(s) as item from classes),
+links as materialized (
+  select a.class as x, b.class as y from items a join items b on a.item = b.item and a.class < b.class
+  group by a.class, b.class, a.n, b.n having 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), edges as materialized (select x, y from links union all select y, x from links),
+reach as (
+  select class as x, class as y from classes union select r.x, e.y from reach r join edges e on r.y = e.x
+), least as (
+  select r.x as class, min(c.rep) as component_id from reach r join classes c on c.class = r.y group by r.x
+)
+select doc_id, len(s) as n_shingles, coalesce(component_id, doc_id) as component_id,
+  coalesce(component_id, doc_id) = doc_id as kept
+from sets left join least on least.class = hash(list_sort(s)) and len(s) > 0
+"""
+
 EXACT_DEDUP = r"""
 with texts as (
   select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as norm from documents
@@ -133,6 +159,7 @@ ORACLES = {
     "op3_url_filter": URL_FILTER,
     "op4_warc_revisits": WARC_REVISITS,
     "op5_secret_scan": SECRET_SCAN,
+    "op7_near_duplicates": NEAR_DUPLICATES,
     "op8_exact_dedup": EXACT_DEDUP,
     "op10_personal_data": PERSONAL_DATA,
 }
