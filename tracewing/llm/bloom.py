@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tables import packed, whole_text
+
 #: 32,768 blocks: 1 MiB of bits, about 0.1 % false passes at 500,000 keys.
 BLOCKS = 1 << 15
 #: Above this a filter is no longer small enough to broadcast.
@@ -52,3 +54,15 @@ def mark(df: DataFrame, key: Column, filter_rows: DataFrame, name: str = "possib
     for n in WORDS:
         hit = hit & (F.col(f"_held.{n}").bitwiseAND(F.col(f"_probe.{n}")) == F.col(f"_probe.{n}"))
     return joined.select(*df.columns, hit.alias(name))
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows, with their columns, whose id and text hash are not among the stored (gone, gone_text).
+
+    Only rows whose id the filter passes are shuffled.
+    """
+    rows = packed(docs, F.col(id_col).alias("id"), F.xxhash64(whole_text(text_col)).alias("text_hash"))
+    rows = mark(rows, F.col("id"), build(gone, F.col("gone")))
+    same = F.col("id").eqNullSafe(F.col("gone")) & (F.col("text_hash") == F.col("gone_text"))
+    suspects = rows.where("possible").join(gone, same, "left_anti")
+    return rows.where("not possible").select("row.*").unionByName(suspects.select("row.*"))

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import bloom
 from .components import components
-from .tables import packed, stored, whole_text
+from .tables import stored, whole_text
 
 #: Four values a band: a pair at similarity 0.85 misses all 32 bands once in 10^10, at 0.8 once in 10^7.
 BANDS, BAND = 32, 4
@@ -310,8 +310,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     decided = near_components(docs, id_col=id_col, text_col=text_col, **parameters)
     dropped = decided.where(~F.col("kept")).select(F.col(id_col).alias("gone"), F.col("text_hash").alias("gone_text"))
     dropped = stored(dropped.distinct(), "dropped")
-    rows = packed(docs, F.col(id_col).alias("id"), F.xxhash64(whole_text(text_col)).alias("text_hash"))
-    rows = bloom.mark(rows, F.col("id"), bloom.build(dropped, F.col("gone")))
-    same = F.col("id").eqNullSafe(F.col("gone")) & (F.col("text_hash") == F.col("gone_text"))
-    suspects = rows.where("possible").join(dropped, same, "left_anti")
-    return rows.where("not possible").select("row.*").unionByName(suspects.select("row.*"))
+    return bloom.without(docs, dropped, id_col, text_col)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, near, pii, secrets, toxicity, urls, warc
+from . import bpe, contamination, exact, near, pii, secrets, toxicity, urls, warc
 from .tables import spans_text, table
 
 ALLOW = (("com", "/"), ("www.example.com", "/en/"))
@@ -53,6 +53,11 @@ def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *_span_columns(secrets.BASE))
 
 
+def benchmark_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination.find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "n_shingles", "n_shared")
+
+
 def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents"))
     ordered = F.transform(
@@ -94,5 +99,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_secret_scan": secret_scan,
     "op7_near_duplicates": near_duplicates,
     "op8_exact_dedup": exact_dedup,
+    "op9_benchmark_passages": benchmark_passages,
     "op10_personal_data": personal_data,
 }

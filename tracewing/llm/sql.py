@@ -92,6 +92,21 @@ select doc_id, min(doc_id) over same as keep_id, count(*) over same as group_siz
 from texts window same as (partition by norm)
 """
 
+BENCHMARK_PASSAGES = r"""
+with cut as (
+  select 'd' as side, doc_id as id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') as w from documents
+  union all
+  select 'i', item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') from benchmark
+), shingles as materialized (
+  select side, id, unnest(list_distinct(case when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end)) as s
+  from cut where len(w) > 0
+), sizes as (select id, count(*) as n from shingles where side = 'i' group by id)
+select d.id as doc_id, i.id as item_id, n as n_shingles, count(*) as n_shared
+from shingles d join shingles i on d.s = i.s and d.side = 'd' and i.side = 'i' join sizes on sizes.id = i.id
+group by d.id, i.id, n having count(*) * 100 >= n * 80
+"""
+
 
 def _spans(place: int, kind: str, pattern: str, valid: str) -> str:
     """Rows (doc_id, b, place, kind, e) of valid matches; a match begins after all texts and matches before it."""
@@ -161,5 +176,6 @@ ORACLES = {
     "op5_secret_scan": SECRET_SCAN,
     "op7_near_duplicates": NEAR_DUPLICATES,
     "op8_exact_dedup": EXACT_DEDUP,
+    "op9_benchmark_passages": BENCHMARK_PASSAGES,
     "op10_personal_data": PERSONAL_DATA,
 }
