@@ -1,20 +1,57 @@
-"""The corpus pipeline: each stage works on all that the stage before it kept."""
+"""The corpus pipeline: documents in, token ids out; each stage works on all that the stage before it kept.
+
+Near-duplicates and benchmark passages are found on five-word shingles at a
+similarity, or containment, of at least 0.8.  Labels are learnt only from rows
+that are not held out, as in the toxicity query.  Empty tables and null texts
+pass through as the operators define it.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewing.llm import exact
+from tracewing.llm import bpe, contamination, exact, near, toxicity
+from tracewing.llm.queries import held_out
 from tracewing.llm.tables import stored, table
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, trained here, does not reject."""
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"), ~held_out("id"))
+    return toxicity.drop_toxic(docs, model)
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the row with the smallest id."""
     return exact.keep_first(docs)
 
 
-STAGES = [("exact dedup", drop_copies)]
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return near.keep_one(docs, size=5, numerator=80, denominator=100)
+
+
+def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return contamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encode_and_decode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every text, with digests of the ids and of the text decoded from them."""
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.round_trip(docs, ranks, public_tokenizers.PATTERN, with_ids=True)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact dedup", drop_copies),
+    ("near dedup", drop_near_copies),
+    ("benchmark decontamination", drop_benchmark_passages),
+    ("byte-level BPE", encode_and_decode),
+]
 
-#: Toxicity is a trained model, which SQL can't express.
+#: The toxicity stage is a trained model, which SQL can't express; tests hold the other stages against brute force.
 ORACLE_SQL = None
 
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, contamination, exact, near, pii, secrets, toxicity, urls, warc
+from . import bpe, chat, contamination, exact, near, pii, secrets, toxicity, urls, warc
 from .tables import spans_text, table
 
 ALLOW = (("com", "/"), ("www.example.com", "/en/"))
@@ -80,6 +80,10 @@ def warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages"))
 
 
+def chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_conversations(table(spark, sf_dir, "conversations"))
+
+
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near.near_components(table(spark, sf_dir, "documents"), size=3, numerator=85, denominator=100)
     kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
@@ -97,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_url_filter": url_filter,
     "op4_warc_revisits": warc_revisits,
     "op5_secret_scan": secret_scan,
+    "op6_chat_format": chat_format,
     "op7_near_duplicates": near_duplicates,
     "op8_exact_dedup": exact_dedup,
     "op9_benchmark_passages": benchmark_passages,

@@ -57,6 +57,24 @@ select page_id, payload_bytes, payload_digest,
 from firsts
 """
 
+CHAT_FORMAT = r"""
+with turns as (select distinct conv_id, turn, role, text from conversations),
+placed as (
+  select *, row_number() over w as pos, count(*) over (partition by conv_id) as n_turns,
+    string_agg(length(role) || ':' || role || length(text) || ':' || text, '|') over w as head
+  from turns window w as (partition by conv_id order by turn rows between unbounded preceding and current row)
+), wholes as (select conv_id, n_turns, head from placed where pos = n_turns),
+kept as (
+  select min(conv_id) as conv_id, n_turns from wholes
+  where head not in (select head from placed where pos < n_turns) group by head, n_turns
+)
+select conv_id, p.n_turns, (pos - 1) // 64 as part, string_agg('<|im_start|>'
+    || replace(replace(role, '<|im_start|>', '< |im_start|>'), '<|im_end|>', '< |im_end|>') || chr(10)
+    || replace(replace(text, '<|im_start|>', '< |im_start|>'), '<|im_end|>', '< |im_end|>')
+    || '<|im_end|>' || chr(10), '' order by pos) as text
+from placed p join kept using (conv_id) group by conv_id, p.n_turns, (pos - 1) // 64
+"""
+
 NEAR_DUPLICATES = r"""
 with recursive words as materialized (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
@@ -174,6 +192,7 @@ ORACLES = {
     "op3_url_filter": URL_FILTER,
     "op4_warc_revisits": WARC_REVISITS,
     "op5_secret_scan": SECRET_SCAN,
+    "op6_chat_format": CHAT_FORMAT,
     "op7_near_duplicates": NEAR_DUPLICATES,
     "op8_exact_dedup": EXACT_DEDUP,
     "op9_benchmark_passages": BENCHMARK_PASSAGES,

@@ -21,7 +21,7 @@ are 0; an empty table gives an empty result; further columns are left out.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -241,32 +241,60 @@ def learn(
     return train(sorted(toxic, key=bytes), sorted(other, key=bytes))
 
 
+def _scorer(weights: dict[int, float], bias: float) -> Callable[[list], np.ndarray]:
+    """Scores of texts; a word's telling features are looked up once."""
+    telling: dict[str, tuple[int, ...]] = {}
+
+    def scores(texts: list) -> np.ndarray:
+        raw = []
+        for text in texts:
+            found = set()
+            for word in set(_WORD.findall((text or "").lower())):
+                ids = telling.get(word)
+                if ids is None:
+                    if len(telling) >= CACHED:
+                        telling.clear()
+                    ids = telling[word] = tuple(i for i in _names(word) if i in weights)
+                if ids:
+                    found.update(ids)
+            raw.append(bias + sum(weights[i] for i in sorted(found)))
+        return 1 / (1 + np.exp(-np.clip(np.array(raw, float), -30, 30)))
+
+    return scores
+
+
+def _sent(docs: DataFrame, model: Model):
+    """The telling features' weights, of which there are at most ``SPACE``, for all tasks."""
+    known = {int(i): float(model.weights[i]) for i in np.flatnonzero(model.weights)}
+    return docs.sparkSession.sparkContext.broadcast((known, model.bias))
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score) of every whole text."""
-    known = {int(i): float(model.weights[i]) for i in np.flatnonzero(model.weights)}
-    sent = docs.sparkSession.sparkContext.broadcast((known, model.bias))
+    sent = _sent(docs, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, bias = sent.value
-        telling: dict[str, tuple[int, ...]] = {}
+        scores = _scorer(*sent.value)
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                raw = []
-                for text in part.column("text").to_pylist():
-                    found = set()
-                    for word in set(_WORD.findall((text or "").lower())):
-                        ids = telling.get(word)
-                        if ids is None:
-                            if len(telling) >= CACHED:
-                                telling.clear()
-                            ids = telling[word] = tuple(i for i in _names(word) if i in weights)
-                        if ids:
-                            found.update(ids)
-                    raw.append(bias + sum(weights[i] for i in sorted(found)))
-                scores = 1 / (1 + np.exp(-np.clip(np.array(raw, float), -30, 30)))
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(scores)], ["id", "score"])
+                made = pa.array(scores(part.column("text").to_pylist()))
+                yield pa.RecordBatch.from_arrays([part.column("id"), made], ["id", "score"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
+
+
+def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The documents, with their columns, whose score is below the threshold."""
+    sent, place = _sent(docs, model), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores = _scorer(*sent.value)
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                yield part.filter(pa.array(scores(part.column(place).to_pylist()) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
