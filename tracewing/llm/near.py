@@ -6,11 +6,12 @@ bucket.  Candidate pairs compare their signatures batch by batch, and a pair
 is dropped as soon as the posterior probability that its similarity reaches
 the threshold falls below ``MISS``; what remains is decided on the full sets.
 
-A bucket of n classes is never expanded into all pairs at once.  First each
-class is compared with its bucket's first class, then, in rounds, with more
-and more pivots, but only where the two are not yet in one component; the last
-round takes all, so no link between components is lost, and a large group of
-near copies needs a few pivots only.
+A bucket is never expanded into all pairs.  First each class is compared with
+its bucket's first class.  Where that leaves a group in several components, all
+classes outside the largest one are compared with the whole group, in blocks of
+bounded size: signatures and sets of two blocks meet in one task, and only
+links between different components come out.  So no link between components is
+lost, and most members of a large group of near copies are compared once.
 
 Defined results: A to Z count as a to z; a text of fewer words than a shingle
 has its whole word sequence as its one shingle; a null, empty or blank text
@@ -25,6 +26,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -41,8 +43,8 @@ VALUES = BANDS * BAND
 BATCH = 32
 #: Posterior probability of reaching the threshold below which a pair is dropped.
 MISS = 1e-9
-#: Expected pivots of a bucket in the rounds after the first; a bucket of no more classes is then complete.
-FIRST_PIVOTS, MORE_PIVOTS = 4, 8
+#: Classes of a block where a group's components are compared with each other.
+BLOCK = 256
 ROWS = 256
 CACHED = 400_000
 
@@ -156,26 +158,74 @@ def least_matches(seen: int, threshold: float, miss: float) -> int:
     return seen
 
 
+def _alive(left: np.ndarray, right: np.ndarray, looks: list[tuple[int, int]]) -> np.ndarray:
+    """Rows of two signature tables that stay possible at every look."""
+    alive, equal, done = np.arange(len(left)), np.zeros(len(left), int), 0
+    for seen, least in looks:
+        equal[alive] += (left[alive, done:seen] == right[alive, done:seen]).sum(1)
+        alive, done = alive[equal[alive] >= least], seen
+    return alive
+
+
+def _looks(threshold: float, miss: float) -> list[tuple[int, int]]:
+    return [(n, least_matches(n, threshold, miss)) for n in range(BATCH, VALUES + 1, BATCH)]
+
+
+def _signatures(values: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(values), "<u4").reshape(-1, VALUES)
+
+
 def _prune(pairs: DataFrame, threshold: float, miss: float) -> DataFrame:
     """The (a, b) of rows (a, b, sig_a, sig_b) whose signatures leave the threshold possible."""
-    looks = [(n, least_matches(n, threshold, miss)) for n in range(BATCH, VALUES + 1, BATCH)]
+    looks = _looks(threshold, miss)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            left, right = (
-                np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, VALUES) for c in ("sig_a", "sig_b")
-            )
-            alive, equal, done = np.arange(batch.num_rows), np.zeros(batch.num_rows, int), 0
-            for seen, least in looks:
-                equal[alive] += (left[alive, done:seen] == right[alive, done:seen]).sum(1)
-                alive, done = alive[equal[alive] >= least], seen
-            yield batch.select(["a", "b"]).take(pa.array(alive))
+            left, right = (_signatures(batch.column(c).to_pylist()) for c in ("sig_a", "sig_b"))
+            yield batch.select(["a", "b"]).take(pa.array(_alive(left, right, looks)))
 
     return pairs.mapInArrow(run, "a binary, b binary")
 
 
+def _compare_blocks(units: DataFrame, numerator: int, denominator: int, miss: float) -> DataFrame:
+    """Links (a, b) between the strays and the members of each unit (pivot, i, j), one for each stray and root.
+
+    Rows are (pivot, i, j, stray, class, root, signature, shingles).  A unit has
+    about two blocks of rows, whatever its bucket's size.
+    """
+    looks = _looks(numerator / denominator, miss)
+
+    def run(unit: pd.DataFrame) -> pd.DataFrame:
+        strays, members = unit[unit.stray], unit[~unit.stray]
+        links = []
+        if len(strays) and len(members):
+            sets = [np.frombuffer(s, np.uint64) for s in members.shingles]
+            sizes = np.array([len(s) for s in sets])
+            owners, held = np.repeat(np.arange(len(sets)), sizes), np.concatenate(sets)
+            order = np.argsort(held, kind="stable")
+            owners, held = owners[order], held[order]
+            right = _signatures(list(members.signature))
+            names, roots = list(members["class"]), list(members.root)
+            for name, root, sig, found in zip(strays["class"], strays.root, strays.signature, strays.shingles):
+                alive = _alive(np.broadcast_to(np.frombuffer(sig, "<u4"), right.shape), right, looks)
+                alive = [k for k in alive if roots[k] != root]
+                if not alive:
+                    continue
+                own = np.frombuffer(found, np.uint64)
+                low, high = np.searchsorted(held, own, "left"), np.searchsorted(held, own, "right")
+                matched = np.concatenate([owners[x:y] for x, y in zip(low, high) if y > x] or [np.empty(0, int)])
+                shared = np.bincount(matched, minlength=len(sets))
+                linked_to = {}
+                for k in alive:
+                    union = len(own) + sizes[k] - shared[k]
+                    if shared[k] * denominator >= union * numerator:
+                        linked_to.setdefault(roots[k], names[k])
+                links += [(name, other) for other in linked_to.values()]
+        return pd.DataFrame({"a": [x for x, _ in links], "b": [y for _, y in links]}, dtype=object)
+
+    return units.groupBy("pivot", "i", "j").applyInPandas(run, "a binary, b binary")
+
+
 def _verify(pairs: DataFrame, numerator: int, denominator: int) -> DataFrame:
     """The (a, b) of rows (a, b, set_a, set_b) with intersection * denominator >= union * numerator."""
 
@@ -201,8 +251,46 @@ def _beside(pairs: DataFrame, table: DataFrame, value: str, name: str) -> DataFr
     return pairs
 
 
-def _ordered(one: str, other: str) -> list[Column]:
-    return [F.least(one, other).alias("a"), F.greatest(one, other).alias("b")]
+
+def _open_units(pairs: DataFrame, roots: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """What is still to compare: in groups of several components, all outside the largest one against all.
+
+    Both sides are cut into blocks of about ``BLOCK`` classes; a unit is one
+    block of each.  Classes of one component need no comparison.
+    """
+    rows = pairs.select("pivot", "class").unionByName(pairs.select("pivot", F.col("pivot").alias("class")).distinct())
+    placed = rows.join(roots, F.col("class") == F.col("node"), "left").select(
+        "pivot", "class", F.coalesce("root", "class").alias("root")
+    )
+    counts = placed.groupBy("pivot", "root").agg(F.count(F.lit(1)).alias("n"))
+    groups = counts.groupBy(F.col("pivot").alias("of")).agg(
+        F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("most")
+    )
+    open_groups = groups.where("n > most.n").select(
+        "of",
+        F.col("most.root").alias("main"),
+        F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"),
+        F.ceil((F.col("n") - F.col("most.n")) / BLOCK).cast("int").alias("stray_blocks"),
+    )
+    left = stored(placed.join(open_groups, F.col("pivot") == F.col("of")).drop("of"), "open-groups")
+
+    def block(salt: int, blocks: str) -> Column:
+        return F.pmod(F.xxhash64(F.lit(salt), "class"), F.col(blocks)).cast("int")
+
+    def all_of(blocks: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+
+    names = ["pivot", "class", "root"]
+    members = left.select(*names, F.lit(False).alias("stray"), block(1, "blocks").alias("j"), all_of("stray_blocks").alias("i"))
+    strays = left.where(F.col("root") != F.col("main")).select(
+        *names, F.lit(True).alias("stray"), block(2, "stray_blocks").alias("i"), all_of("blocks").alias("j")
+    )
+    still = left.select(F.col("class").alias("needed")).distinct()
+    full = sets.join(still, F.col("class") == F.col("needed"), "left_semi").join(
+        classes.select(F.col("class").alias("of"), "signature"), F.col("class") == F.col("of")
+    )
+    full = stored(full.select(F.col("class").alias("of"), "signature", "shingles"), "open-sets")
+    return members.unionByName(strays).join(full, F.col("class") == F.col("of")).drop("of")
 
 
 def near_components(
@@ -237,48 +325,29 @@ def near_components(
         .agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("pivot"))
         .where("n > 1")
     )
-    members = stored(
-        banded.join(shared, F.col("bucket") == F.col("shared")).select("bucket", "class", "n", "pivot"), "members"
-    )
-    wanted = members.select("class").distinct().join(classes, "class").select(F.col("first.id").alias("rep_id"), "class")
+    # buckets with the same first class are one group: near copies mostly share all of theirs
+    met = banded.join(shared, F.col("bucket") == F.col("shared")).where("class <> pivot")
+    pairs = stored(met.select("pivot", "class").distinct(), "bucket-pairs")
+    involved = pairs.select(F.explode(F.array("pivot", "class")).alias("class")).distinct()
+    wanted = involved.join(classes, "class").select(F.col("first.id").alias("rep_id"), "class")
     sets = stored(_sets(docs, wanted, size, id_col, text_col), "sets")
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        sizes = _beside(pairs, classes.withColumn("both", F.struct("n_shingles", "signature")), "both", "of")
-        small, large = (f("of_a.n_shingles", "of_b.n_shingles") for f in (F.least, F.greatest))
-        fair = sizes.where(small * denominator >= large * numerator)
-        kept = _prune(
-            fair.select("a", "b", F.col("of_a.signature").alias("sig_a"), F.col("of_b.signature").alias("sig_b")),
-            numerator / denominator,
-            miss,
-        )
-        return _verify(_beside(stored(kept, "pairs"), sets, "shingles", "set"), numerator, denominator)
-
-    pairs = members.where("class <> pivot").select(*_ordered("class", "pivot")).distinct()
-    roots = components(linked(pairs))
-    largest = members.agg(F.max("n")).first()[0] or 0
-    # where a class stands in [0, 1): the same in all its buckets, so that buckets of one group share pivots
-    place = F.conv(F.hex(F.substring("class", 1, 4)), 16, 10).cast("bigint") / F.lit(float(1 << 32))
-    done, pivots = 0, FIRST_PIVOTS
-    while done < largest and largest > 2:
-        known = members.where("n > 2").join(roots, F.col("class") == F.col("node"), "left")
-        known = known.withColumn("root", F.coalesce("root", "class")).drop("node")
-        mixed = (
-            known.groupBy(F.col("bucket").alias("mixed"))
-            .agg(F.min("root").alias("low"), F.max("root").alias("high"))
-            .where("low <> high")
-        )
-        active = stored(known.join(mixed, F.col("bucket") == F.col("mixed")).drop("mixed", "low", "high"), "active")
-        if active.isEmpty():
-            break
-        chosen = active.where((place * F.col("n") >= done) & (place * F.col("n") < pivots)).select(
-            F.col("bucket").alias("at"), F.col("class").alias("other"), F.col("root").alias("other_root")
-        )
-        met = active.join(chosen, (F.col("bucket") == F.col("at")) & (F.col("root") != F.col("other_root")))
-        more = linked(met.select(*_ordered("class", "other")).distinct())
-        stars = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-        roots = components(stars.unionByName(more))
-        done, pivots = pivots, pivots * MORE_PIVOTS
+    sizes = _beside(
+        pairs.select(F.col("pivot").alias("a"), F.col("class").alias("b")),
+        classes.withColumn("both", F.struct("n_shingles", "signature")),
+        "both",
+        "of",
+    )
+    small, large = (f("of_a.n_shingles", "of_b.n_shingles") for f in (F.least, F.greatest))
+    fair = sizes.where(small * denominator >= large * numerator).select(
+        "a", "b", F.col("of_a.signature").alias("sig_a"), F.col("of_b.signature").alias("sig_b")
+    )
+    kept = stored(_prune(fair, numerator / denominator, miss), "kept-pairs")
+    roots = components(_verify(_beside(kept, sets, "shingles", "set"), numerator, denominator))
+
+    units = _open_units(pairs, roots, classes, sets)
+    stars = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    roots = components(stars.unionByName(_compare_blocks(units, numerator, denominator, miss)))
 
     rooted = classes.join(roots, F.col("class") == F.col("node"), "left").select(
         "class", "first", F.coalesce("root", "class").alias("root")
