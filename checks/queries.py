@@ -374,7 +374,7 @@ def dlv_pod_duration(spark, sf_dir):
 def hot_waybill_durations(spark, sf_dir):
     """A third of all rows in one waybill, which is cut into chunks."""
     rows = with_neighbours(
-        _dated(spark, sf_dir, HOT_KEY), ["awbNo"], ORDER, max_group_rows=SPLIT_ABOVE,
+        _dated(spark, sf_dir, HOT_KEY), ["awbNo"], ORDER,
         ahead={"next": F.col("eventDate"), "reached": F.when(F.col("eventCode") == "POD", F.col("eventDate"))},
     )
     return rows.select(
@@ -421,7 +421,7 @@ def pod_features(spark, sf_dir):
 
 # ---- splits, imputation, scaling -----------------------------------------------------------------------------------
 
-_BUCKET = "('0x' || substr(md5('42|' || event_id::varchar), 1, 8))::ubigint % 100"
+_BUCKET = "('0x' || substr(md5('2:42|' || length(event_id::varchar) || ':' || event_id::varchar), 1, 8))::ubigint % 100"
 _SPLIT = f"case when {_BUCKET} < 70 then 'train' when {_BUCKET} < 90 then 'test' else 'val' end"
 
 
@@ -508,7 +508,7 @@ def column_mode(spark, sf_dir):
     return stats.column_mode(milestone_events(spark, sf_dir), _MODE_COLUMNS)
 
 
-@query("select event_id, event_type from events order by md5('143861876|' || event_id::varchar), event_id limit 100")
+@query("select event_id, event_type from events order by md5('9:143861876|' || length(event_id::varchar) || ':' || event_id::varchar), event_id limit 100")
 def seeded_sample(spark, sf_dir):
     return stats.seeded_sample(table(spark, sf_dir, "events").select("event_id", "event_type"), KEYS, 100, 143861876)
 

@@ -12,7 +12,8 @@ def lit(text: str) -> str:
 
 
 def uuid_of(*parts: str) -> str:
-    digest = f"md5(concat_ws('|', {', '.join(parts)}))"
+    marked = [f"coalesce(length({p}) || ':' || {p}, '-')" for p in parts]
+    digest = f"md5(concat_ws('|', {', '.join(marked)}))"
     cuts = [(1, 8), (9, 4), (13, 4), (17, 4), (21, 12)]
     return "concat_ws('-', " + ", ".join(f"substr({digest}, {a}, {n})" for a, n in cuts) + ")"
 

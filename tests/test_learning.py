@@ -69,15 +69,9 @@ def test_tuning_keeps_the_largest_metric(events):
     assert best.metrics.where("train_test_split = 'val'").first().roc_auc == max(val.values())
 
 
-def test_identifiers_are_not_encoded(events, monkeypatch):
-    monkeypatch.setattr(learning, "MAX_CATEGORIES", 2)
-    with pytest.raises(ValueError, match="one-hot"):
-        learning.fit_features(flows.irregularity_training_rows(events, KEYS, TIES), learning.IRREGULARITY)
-
-
 def test_permuted_column_is_a_permutation(events):
     rows = events.select("event_id", "wgt_chargeable", "awbNo")
-    got = importance.permute_column(rows, "wgt_chargeable", KEYS, 1, 4)
+    got = importance.permute_column(rows, "wgt_chargeable", KEYS, 1)
     assert got.columns == rows.columns and got.drop("wgt_chargeable").exceptAll(rows.drop("wgt_chargeable")).isEmpty()
     assert got.select("wgt_chargeable").exceptAll(rows.select("wgt_chargeable")).isEmpty()
     assert got.exceptAll(rows).count() > rows.count() / 2

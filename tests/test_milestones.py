@@ -60,11 +60,9 @@ def test_codes_with_a_misplaced_comma_lose_two_codes(spark):
     assert kept == {"POD", "RIH", "DLV"}
 
 
-@pytest.mark.parametrize("limit", [m.MAX_TOP_KEYS, 1])
-def test_rules_by_top_keys_and_by_full_numbering_agree(spark, monkeypatch, limit):
-    monkeypatch.setattr(m, "MAX_TOP_KEYS", limit)
+def test_rules_follow_key_numbers(spark):
     df = raw(spark, [(f"k{i}", "RIH", T, T, T) for i in range(5)] * 3)
-    got = sorted((r.awbNo, r.eventDate) for r in m.impute_delivery(df, RULES, max_group_rows=2).distinct().collect())
+    got = sorted((r.awbNo, r.eventDate) for r in m.impute_delivery(df, RULES).distinct().collect())
     assert got == [("k0", at(10, 30)), ("k1", at(10, 50)), ("k2", at(10, 50)), ("k3", at(10)), ("k4", at(10))]
 
 

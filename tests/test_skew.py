@@ -1,11 +1,16 @@
-"""The split forms must give exactly what the plain forms give."""
+"""Range-split sequences must give exactly what plain windows give."""
+
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tracewing.operators import ranking, sequence, skew
 
 
+ORDER = ["eventDate", "event_id"]
+
+
 @pytest.fixture(scope="module")
 def events(spark):
     """A third of the rows in one waybill, a NULL waybill, ties and NULL times."""
@@ -22,60 +27,51 @@ def rows(df):
     return sorted(map(str, df.select(sorted(df.columns)).collect()))
 
 
-ORDER = ["eventDate", "event_id"]
+def plain(events, order):
+    """Lead and lag by a window over the whole key."""
+    w = Window.partitionBy("awbNo").orderBy(*[F.col(c).asc_nulls_first() for c in order])
+    return events.withColumns({"next_id": F.lead("event_id").over(w), "last_date": F.lag("eventDate").over(w)})
+
+
+@pytest.mark.parametrize("parts", [1, 4, 23])
+def test_split_windows(spark, events, parts):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        got = skew.with_neighbours(
+            events, ["awbNo"], ORDER, {"next_id": F.col("event_id")}, {"last_date": F.col("eventDate")}
+        )
+        assert rows(got) == rows(plain(events, ORDER))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
 @pytest.mark.parametrize(
     "operator",
     [sequence.next_flag_label, sequence.hours_to_next, sequence.hours_since_previous, sequence.duration_to_next_event],
 )
-def test_split_windows(events, operator):
-    assert rows(operator(events, ORDER, max_group_rows=50)) == rows(operator(events, ORDER, max_group_rows=None))
-
-
-def test_chunks_are_small_and_in_order(events):
-    edges = skew.chunk_edges(events, ["awbNo"], ORDER, 100)
-    parts = (
-        skew.ordered_chunks(events, ["awbNo"], ORDER, edges)
-        .where("awbNo = 'hot'")
-        .groupBy("_chunk")
-        .agg(F.count("*").alias("n"), F.min(F.struct(*ORDER)).alias("low"), F.max(F.struct(*ORDER)).alias("high"))
-        .orderBy("_chunk")
-        .select("n", "_chunk", F.lag("high").over(__import__("pyspark").sql.Window.orderBy("_chunk")).alias("before"), "low")
-        .withColumn("ordered", F.col("before").isNull() | (F.col("before") < F.col("low")))
-        .collect()
-    )
-    assert len(parts) >= 8 and all(p.ordered for p in parts) and sum(p.n for p in parts) == 1000
-    assert max(p.n for p in parts) <= 300
-
-
-def test_many_edges_use_blocks(events):
-    edges = skew.chunk_edges(events, ["awbNo"], ORDER, 5)
-    assert max(len(r["_blocks"]) for r in edges.collect()) > 1
-    assert rows(sequence.hours_to_next(events, ORDER, max_group_rows=5)) == rows(
-        sequence.hours_to_next(events, ORDER, max_group_rows=None)
-    )
+def test_ties_do_not_depend_on_the_input_order(events, operator):
+    tied = events.withColumn("eventDate", F.date_trunc("day", "eventDate").cast("timestamp_ntz"))
+    assert rows(operator(tied.repartition(7), ["eventDate"])) == rows(operator(tied.coalesce(1), ["eventDate"]))
 
 
-@pytest.mark.parametrize("how", ["inner", "left"])
-def test_salted_join(events, how):
-    right = events.where("awbNo is not null and awbNo <> '5'").groupBy("awbNo").agg(F.count("*").alias("n"))
-    salted = skew.join_on_key(events, right, "awbNo", how, max_group_rows=60)
-    assert rows(salted) == rows(events.join(right, "awbNo", how))
-    assert "_salt" in salted._jdf.queryExecution().toString()
+def test_a_sequence_without_keys(spark):
+    got = skew.with_neighbours(spark.range(1000).repartition(5), [], ["id"], {"n": F.col("id")}, {"p": F.col("id")})
+    assert {(r.id, r.p, r.n) for r in got.collect()} == {
+        (i, i - 1 if i else None, i + 1 if i < 999 else None) for i in range(1000)
+    }
 
 
-def test_other_joins_are_refused(events):
-    with pytest.raises(ValueError):
-        skew.join_on_key(events, events, "awbNo", "full")
+def test_an_empty_sequence(events):
+    assert sequence.hours_to_next(events.limit(0), ORDER).count() == 0
 
 
 def test_numbers_follow_key_order(events):
     got = ranking.dense_key_id(events, "awbNo").orderBy("row_num").collect()
     keys = sorted({r.awbNo for r in events.select("awbNo").distinct().collect() if r.awbNo is not None})
     assert [(r.awbNo, r.row_num) for r in got] == [(k, i + 1) for i, k in enumerate(keys)]
-    plain, split = (ranking.attach_key_id(events, "awbNo", max_group_rows=m) for m in (None, 60))
-    assert rows(plain) == rows(split)
+    numbered = ranking.attach_key_id(events, "awbNo").select("awbNo", "row_num").distinct().collect()
+    assert sorted(map(tuple, numbered)) == [(k, i + 1) for i, k in enumerate(keys)]
 
 
 @pytest.mark.parametrize("descending", [False, True])

@@ -34,8 +34,9 @@ def parse_milestone_ts(c: str | Column) -> Column:
 
 
 def to_double(c: str | Column) -> Column:
-    """Text to double, NULL where it is no number (ANSI casts would raise)."""
-    return _column(c).try_cast("double")
+    """Text to double, NULL where it is no finite number (ANSI casts would raise)."""
+    number = _column(c).try_cast("double")
+    return F.when(F.abs(number) < F.lit(float("inf")), number)  # NaN compares as the largest
 
 
 def chargeable_weight(weight: str | Column, volume: str | Column) -> Column:
@@ -100,9 +101,16 @@ def waybill_key(prefix: str | Column, number: str | Column) -> Column:
     return F.concat_ws("-", F.lit("awb"), _column(prefix), _column(number))
 
 
+def key_text(*parts: str | Column) -> Column:
+    """The parts as one text, each with its length and NULL as a dash, so that different parts give different texts."""
+    texts = [_column(p).cast("string") for p in parts]
+    marked = [F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts]
+    return F.concat_ws("|", *marked)
+
+
 def name_based_id(*parts: str | Column) -> Column:
     """Identifier in UUID form made from its parts, so a re-run gives the same one."""
-    digest = F.md5(F.concat_ws("|", *[_column(p).cast("string") for p in parts]))
+    digest = F.md5(key_text(*parts))
     cuts = [(1, 8), (9, 4), (13, 4), (17, 4), (21, 12)]
     return F.concat_ws("-", *[F.substring(digest, start, length) for start, length in cuts])
 
@@ -114,6 +122,6 @@ def random_id() -> Column:
 
 def hash_bucket(seed: int, *keys: str | Column, buckets: int = 100) -> Column:
     """Bucket 0..buckets-1 from the seed and the keys alone, whatever the partitioning."""
-    text = F.concat_ws("|", F.lit(str(seed)), *[_column(k).cast("string") for k in keys])
+    text = key_text(F.lit(str(seed)), *keys)
     head = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
     return F.pmod(head, F.lit(buckets))

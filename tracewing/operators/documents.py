@@ -13,12 +13,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import event_name, name_based_id, waybill_parts
-from .skew import split_members
 
 XSD = "http://www.w3.org/2001/XMLSchema#"
 EVENT_TIME = "yyyy-MM-dd'T'HH:mm:ss'Z'"
-# about this many references per document; a larger set continues in further documents of the same node
-MAX_MEMBERS = 1_000_000
+# about this many distinct members on a page of a shipment or booking
+PAGE_SIZE = 1_000_000
+# Fixed value: the description of goods where none is given.
+GOODS = "General Cargo"
 
 # Roles of the parties of a waybill, with the column that names the organization.
 PARTY_ROLES = (("Shipper", "shipper"), ("Consignee", "consignee"), ("FreightForwarder", "forwarder"))
@@ -91,24 +92,55 @@ def waybill_documents(df: DataFrame, names: Names = Names()) -> DataFrame:
 
 
 def gather_members(
-    df: DataFrame, key: str, carried: Sequence[str], member: Sequence[str], max_members: int | None = MAX_MEMBERS
+    df: DataFrame, key: str, carried: Sequence[str], member: Sequence[str], page_size: int = PAGE_SIZE
 ) -> DataFrame:
-    """``key, carried.., part, members``: the sorted distinct members of each key.
+    """``key, carried.., page, pages, members``: the distinct members of each key in pages of about ``page_size``.
 
-    ``carried`` columns depend on the key.  A key with more than ``max_members``
-    rows is spread over several parts, so no task and no row takes it whole.
+    ``carried`` columns depend on the key.  The number of pages follows from
+    the number of distinct members, a member's page from its hash; rows are
+    grouped by page, so no task takes a large key whole.  Rows without a member
+    give a key its first page.
     """
-    rows = df.select(key, *carried, F.struct(*member).alias("_member"))
-    return (
-        split_members(rows, key, "_member", max_members)
-        .groupBy(key, *carried, "part")
-        .agg(F.array_sort(F.collect_set("_member")).alias("members"))
+    filled = F.struct(*member)
+    present = F.lit(True)
+    for c in member:
+        present = present & F.col(c).isNotNull()
+    rows = df.select(key, *carried, F.when(present, filled).alias("_member")).distinct()
+    sizes = rows.groupBy(F.col(key).alias("_key")).agg(
+        F.greatest(F.ceil(F.count("_member") / page_size), F.lit(1)).cast("int").alias("pages")
     )
+    paged = rows.join(sizes, F.col(key).eqNullSafe(F.col("_key")))
+    page = F.when(F.col("_member").isNull(), 0).otherwise(F.pmod(F.xxhash64("_member"), F.col("pages"))).cast("int")
+    # the first page always exists, for the links to the others
+    heads = rows.select(key, *carried).distinct().join(sizes, F.col(key).eqNullSafe(F.col("_key")))
+    every = paged.select(key, *carried, page.alias("page"), "pages", "_member").unionByName(
+        heads.select(key, *carried, F.lit(0).alias("page"), "pages", F.lit(None).cast(rows.schema["_member"].dataType).alias("_member"))
+    )
+    return every.groupBy(key, *carried, "page", "pages").agg(F.array_sort(F.collect_list("_member")).alias("members"))
+
+
+def _paged_documents(
+    gathered: DataFrame, names: Names, kind: str, cls: str, url: Column, name: str, items: Column, scalars: dict[str, Column | str]
+) -> DataFrame:
+    """The first page is the object itself, with its scalars and links to further pages, which have addresses of their own."""
+    first = gathered.where("page = 0")
+    further = F.when(
+        F.col("pages") > 1,
+        F.transform(
+            F.sequence(F.lit(1), F.greatest(F.col("pages") - 1, F.lit(1))),
+            lambda p: F.struct(F.concat(url, F.lit("/pages/"), p.cast("string")).alias("@id")),
+        ),
+    )
+    members = dict(sorted({**scalars, name: items}.items()))
+    whole = _documents(first, url, kind, _node(names, url, cls, members | {"pages": further}))
+    page_url = F.concat(url, F.lit("/pages/"), F.col("page").cast("string"))
+    page = _node(names, page_url, f"{cls}Page", {name: items, "pageOf": F.struct(url.alias("@id"))})
+    return whole.unionByName(_documents(gathered.where("page > 0"), page_url, kind, page))
 
 
-def booking_documents(legs: DataFrame, names: Names = Names(), max_members: int | None = MAX_MEMBERS) -> DataFrame:
+def booking_documents(legs: DataFrame, names: Names = Names(), page_size: int = PAGE_SIZE) -> DataFrame:
     """From one row per leg: ``booking_id, waybill_id, sequence, activity_id``."""
-    gathered = gather_members(legs, "booking_id", ["waybill_id"], ["sequence", "activity_id"], max_members)
+    gathered = gather_members(legs, "booking_id", ["waybill_id"], ["sequence", "activity_id"], page_size)
     steps = F.transform(
         "members",
         lambda m: _node(
@@ -118,30 +150,22 @@ def booking_documents(legs: DataFrame, names: Names = Names(), max_members: int
             {"activity": names.ref(m["activity_id"]), "sequenceNumber": m["sequence"].cast("string")},
         ),
     )
-    url = names.url("booking_id")
-    members = {"activitySequences": steps, "issuedForWaybill": names.ref("waybill_id")}
-    return _documents(gathered, url, "booking", _node(names, url, "Booking", members))
+    scalars = {"issuedForWaybill": names.ref("waybill_id")}
+    return _paged_documents(gathered, names, "booking", "Booking", names.url("booking_id"), "activitySequences", steps, scalars)
 
 
 def shipment_documents(
-    pieces: DataFrame,
-    names: Names = Names(),
-    goods: str = "General Cargo",
-    max_members: int | None = MAX_MEMBERS,
+    pieces: DataFrame, names: Names = Names(), goods: str = GOODS, page_size: int = PAGE_SIZE
 ) -> DataFrame:
-    """From one row per piece: ``shipment_id, waybill_id, piece_id``; repeated pieces collapse."""
-    gathered = gather_members(pieces, "shipment_id", ["waybill_id"], ["piece_id"], max_members)
-    url = names.url("shipment_id")
-    members = {
-        "goodsDescription": goods,
-        "shipmentOfPieces": F.transform("members", lambda m: names.ref(m["piece_id"])),
-        "waybill": names.ref("waybill_id"),
-    }
-    return _documents(gathered, url, "shipment", _node(names, url, "Shipment", members))
+    """From one row per piece: ``shipment_id, waybill_id, piece_id``; repeated pieces collapse, NULL pieces are none."""
+    gathered = gather_members(pieces, "shipment_id", ["waybill_id"], ["piece_id"], page_size)
+    refs = F.transform("members", lambda m: names.ref(m["piece_id"]))
+    scalars = {"goodsDescription": goods, "waybill": names.ref("waybill_id")}
+    return _paged_documents(gathered, names, "shipment", "Shipment", names.url("shipment_id"), "shipmentOfPieces", refs, scalars)
 
 
 def piece_documents(
-    pieces: DataFrame, names: Names = Names(), goods: str = "General Cargo", unit: str = "KGM"
+    pieces: DataFrame, names: Names = Names(), goods: str = GOODS, unit: str = "KGM"
 ) -> DataFrame:
     """From ``piece_id, weight``; the weight node's identifier comes from the piece."""
     weight = _node(

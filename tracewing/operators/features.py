@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import CALENDAR_PARTS, calendar_features, clean_delay, hours_between, is_code, to_double
 from ..schema import DELIVERY_INPUT, IRREGULARITY_INPUT, require_columns
-from .skew import MAX_GROUP_ROWS, with_neighbours
+from .skew import with_neighbours
 
 # Columns after the event time that settle the order of a waybill's events.
 TIE_BREAKERS = ("eventCode", "total_no_of_pieces", "wgt_chargeable")
@@ -38,7 +38,6 @@ def irregularity_features(
     tie_breakers: Sequence[str] = TIE_BREAKERS,
     keep: Sequence[str] = (),
     typed: bool = True,
-    max_group_rows: int | None = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Flag, next-step label, cleaned delay, calendar parts and hours to the next event.
 
@@ -58,7 +57,6 @@ def irregularity_features(
         ["awbNo"],
         ["_ts", *tie_breakers],
         ahead={"statusTarget": F.col("statusBinary"), "_next": F.col("_ts")},
-        max_group_rows=max_group_rows,
     )
     rows = rows.withColumns(
         {f"eventDate_{part}": read(F.col("_ts")) for part, read in CALENDAR_PARTS.items()}
@@ -78,7 +76,6 @@ def delivery_features(
     events: DataFrame,
     tie_breakers: Sequence[str] = TIE_BREAKERS,
     keep: Sequence[str] = (),
-    max_group_rows: int | None = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Delivery rows whose next event is the proof of delivery, with the hours until it as target."""
     require_columns(events, DELIVERY_INPUT, "delivery features")
@@ -93,7 +90,6 @@ def delivery_features(
         ["eventDate", *tie_breakers],
         ahead={"_proof": proof},
         behind={"_prev": F.col("eventDate")},
-        max_group_rows=max_group_rows,
     )
     rows = rows.where((F.col("eventCode") == "DLV") & F.col("_proof").isNotNull())
     rows = rows.withColumns(

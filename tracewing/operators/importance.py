@@ -4,32 +4,29 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import hash_bucket
+from ..functions.columns import key_text
+from .skew import with_neighbours
 
-ROWS_PER_BUCKET = 100_000
 
+def permute_column(df: DataFrame, column: str, keys: Sequence[str], seed: int) -> DataFrame:
+    """Hand each row the value of the next row in a seeded hash order; the last row takes the first one's.
 
-def permute_column(df: DataFrame, column: str, keys: Sequence[str], seed: int, buckets: int) -> DataFrame:
-    """Hand each row the value of the next row in a seeded hash order, within hash buckets.
-
-    The buckets hash the row's key, so they are even whatever the data, and the
-    last row of a bucket takes the first one's value.  A permutation inside
-    random buckets is a random permutation for this purpose.
+    One order over all rows, spread over tasks by ranges of the hash, so the
+    permutation depends on keys and seed alone.
     """
-    order = F.md5(F.concat_ws("|", F.lit(f"{seed}|{column}"), *[F.col(k).cast("string") for k in keys]))
-    placed = df.withColumns({"_bucket": hash_bucket(seed, *keys, buckets=buckets), "_order": order})
-    w = Window.partitionBy("_bucket").orderBy("_order", *keys)
-    return placed.withColumns(
-        {
-            "_last": F.lead(F.lit(1)).over(w).isNull(),
-            "_next": F.lead(column).over(w),
-            "_first": F.first(column).over(w),
-        }
-    ).select(*[F.when(F.col("_last"), F.col("_first")).otherwise(F.col("_next")).alias(c) if c == column else c for c in df.columns])
+    place = F.md5(key_text(F.lit(str(seed)), F.lit(column), *keys))
+    held = F.struct(F.col(column).alias("value"))
+    moved = with_neighbours(df.withColumn("_place", place), [], ["_place", *keys], ahead={"_held": held})
+    order = F.struct("_place", *keys)
+    start = df.withColumn("_place", place).agg(F.min_by(held, order).alias("held")).first()["held"]
+    wrapped = F.lit(None if start is None else start["value"]).cast(df.schema[column].dataType)
+    value = F.when(F.col("_held").isNull(), wrapped).otherwise(F.col("_held.value"))
+    return moved.select(*[value.alias(c) if c == column else F.col(c) for c in df.columns])
 
 
 def permutation_importance(
@@ -41,10 +38,13 @@ def permutation_importance(
     seed: int = 42,
 ) -> DataFrame:
     """``(column, value, baseline, drop)`` per input, where ``measure`` maps scored rows to one row ``value``."""
-    buckets = max(1, rows.count() // ROWS_PER_BUCKET)
-    baseline = measure(model.transform(rows)).first()["value"]
-    spark, found = rows.sparkSession, []
-    for column in columns:  # one distributed job per input column
-        value = measure(model.transform(permute_column(rows, column, keys, seed, buckets))).first()["value"]
-        found.append((column, value, baseline, baseline - value))
-    return spark.createDataFrame(found, "column string, value double, baseline double, drop double")
+    kept = rows.persist(StorageLevel.MEMORY_AND_DISK)  # read once for the baseline and each column
+    try:
+        baseline = measure(model.transform(kept)).first()["value"]
+        found = []
+        for column in columns:  # one distributed job per input column
+            value = measure(model.transform(permute_column(kept, column, keys, seed))).first()["value"]
+            found.append((column, value, baseline, baseline - value))
+    finally:
+        kept.unpersist()
+    return rows.sparkSession.createDataFrame(found, "column string, value double, baseline double, drop double")

@@ -22,8 +22,6 @@ from .scaling import learn_scales
 FEATURES, LABEL = "features", "label"
 TRAIN, TEST, VAL = "train", "test", "val"
 INTERNAL = (FEATURES, LABEL, "rawPrediction", "probability", "prediction")
-# a category column with more values than this is an identifier put in by mistake
-MAX_CATEGORIES = 100_000
 
 
 @dataclass(frozen=True)
@@ -49,10 +47,6 @@ def fit_features(train: DataFrame, inputs: Inputs) -> list[Transformer]:
     deviation.  Categories: one-hot, with one more position for values not seen
     in training.  Flags pass as 0/1.  The working columns go once assembled.
     """
-    counts = train.agg(*[F.approx_count_distinct(c).alias(c) for c in inputs.categories]).first()
-    wide = {c: counts[c] for c in inputs.categories if counts[c] > MAX_CATEGORIES}
-    if wide:
-        raise ValueError(f"too many distinct values to one-hot encode: {wide}")
     scaled = {f"_num_{s.name}": s.scaled_sql() for s in learn_scales(train, inputs.numeric)}
     flags = {f"_flag_{c}": f"coalesce(try_cast(`{c}` as double), 0D)" for c in inputs.flags}
     texts = {f"_cat_{c}": f"cast(`{c}` as string)" for c in inputs.categories}
@@ -143,30 +137,38 @@ def train(
     improve.  An estimator given as a function is called with the number of
     training rows.
     """
+    return _fit_all(rows, inputs, [estimator], split)[0]
+
+
+def _fit_all(
+    rows: DataFrame, inputs: Inputs, estimators: Sequence[Estimator | Callable[[int], Estimator]], split: str
+) -> list[Fitted]:
+    """Every estimator on the same feature stages, which are learned, and the features made, once."""
     shared_folder(rows.sparkSession)  # boosted trees cut their lineage there
     used = [*inputs.flags, *inputs.numeric, *inputs.categories, inputs.target, split]
     labelled = _labelled(rows.select(*dict.fromkeys(used)), inputs, split).where(F.col(LABEL).isNotNull())
     kept = labelled.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        training = kept.where(F.col(split) == TRAIN)
-        prepare = PipelineModel(fit_features(training, inputs))
-        if not isinstance(estimator, Estimator):
-            estimator = estimator(training.count())
-        validated = estimator.hasParam("validationIndicatorCol") and estimator.isDefined("validationIndicatorCol")
-        seen = kept.where(F.col(split).isin(TRAIN, VAL)) if validated else training
-        assembled = prepare.transform(seen).select(FEATURES, LABEL, "_validation")
-        assembled.persist(StorageLevel.MEMORY_AND_DISK)
+        prepare = PipelineModel(fit_features(kept.where(F.col(split) == TRAIN), inputs))
+        made = prepare.transform(kept).select(FEATURES, LABEL, "_validation", split).persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            fitted = estimator.fit(assembled)
+            training = made.where(F.col(split) == TRAIN)
+            fits = []
+            for estimator in estimators:
+                if not isinstance(estimator, Estimator):
+                    estimator = estimator(training.count())
+                validated = estimator.hasParam("validationIndicatorCol") and estimator.isDefined("validationIndicatorCol")
+                seen = made.where(F.col(split).isin(TRAIN, VAL)) if validated else training
+                fitted = estimator.fit(seen.select(FEATURES, LABEL, "_validation"))
+                fits.append(Fitted(PipelineModel([*prepare.stages, fitted]), evaluate(fitted, made, split)))
+            return fits
         finally:
-            assembled.unpersist()
-        model = PipelineModel([*prepare.stages, fitted])
-        return Fitted(model, evaluate(model, kept, split))
+            made.unpersist()
     finally:
         kept.unpersist()
 
 
-def evaluate(model: PipelineModel, labelled: DataFrame, split: str = "train_test_split") -> DataFrame:
+def evaluate(model: Transformer, labelled: DataFrame, split: str = "train_test_split") -> DataFrame:
     """Metrics per split; few rows, brought back so the rows they come from can be released."""
     scored = model.transform(labelled)
     if "probability" not in scored.columns:
@@ -191,8 +193,7 @@ def tune(
     Also returns the metrics of all, with the number of the candidate.
     """
     best, best_value, all_metrics = None, None, None
-    for number, estimator in enumerate(candidates):
-        fitted = train(rows, inputs, estimator, split)
+    for number, fitted in enumerate(_fit_all(rows, inputs, candidates, split)):
         row = fitted.metrics.where(F.col(split) == VAL).first()
         value = float("-inf") if row is None or row[metric] is None else row[metric]
         if best is None or value > best_value:

@@ -48,7 +48,7 @@ def classification_metrics(
     if probability:
         p = F.greatest(F.least(F.col(probability), F.lit(1 - TINY)), F.lit(TINY))
         aggregates.append((-F.avg(F.when(yes, F.log(p)).otherwise(F.log(1 - p)))).alias("log_loss"))
-    counted = df.groupBy(*group).agg(*aggregates)
+    counted = df.where(F.col(label).isNotNull()).groupBy(*group).agg(*aggregates)
     tp, fp, fn, tn = (F.col(c) for c in ("true_positives", "false_positives", "false_negatives", "true_negatives"))
     return counted.withColumns(
         {
@@ -68,7 +68,8 @@ def ranking_metrics(df: DataFrame, group: Sequence[str], label: str = LABEL, pro
     totals before it, so no row looks at another one.
     """
     yes = F.col(label) == 1
-    scores = df.groupBy(*group, F.col(probability).alias("_score")).agg(
+    known = df.where(F.col(label).isNotNull() & F.col(probability).isNotNull())
+    scores = known.groupBy(*group, F.col(probability).alias("_score")).agg(
         F.count_if(yes).cast("double").alias("_pos"), F.count_if(~yes).cast("double").alias("_neg")
     )
     along = running_totals(scores, group, "_score", {"_tp": "_pos", "_fp": "_neg"}, descending=True)

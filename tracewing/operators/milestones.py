@@ -5,12 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import chargeable_weight, parse_milestone_ts
 from .ranking import dense_key_id
-from .skew import MAX_GROUP_ROWS, join_on_key
 
 KEY = "HAWB_No"
 HANDED_OVER = "RIH"
@@ -21,9 +20,6 @@ EVENT_CODES = ("DLV", "RIH", "DIH", "RIW", "OFD", "TPN", "POD")
 # The same list as it reads when a comma falls inside the quotes.
 EVENT_CODES_JOINED = ("DLV", "RIH", "DIH", "RIW", "OFD,TPN", "POD")
 
-# keys up to this many are numbered by a top-n and broadcast; beyond it see key_minutes
-MAX_TOP_KEYS = 1_000_000
-
 
 @dataclass(frozen=True)
 class DeliveryRule:
@@ -70,34 +66,14 @@ def _minutes(number: Column, rules: Sequence[DeliveryRule], field: str) -> Colum
     return chosen
 
 
-def key_minutes(raw: DataFrame, rules: Sequence[DeliveryRule] = DELIVERY_RULES) -> tuple[DataFrame, bool]:
-    """``(HAWB_No, after_dynamic, after_actual)`` for the waybills that a rule covers.
-
-    Waybills are numbered in key order.  Rules reach only up to the largest
-    ``last``, so a top-n of the distinct keys is enough and its size is known:
-    the flag says whether the table is small enough to broadcast.
-    """
-    reach = max(rule.last for rule in rules)
-    if reach <= MAX_TOP_KEYS:
-        top = raw.select(KEY).where(F.col(KEY).isNotNull()).distinct().orderBy(KEY).limit(reach)
-        numbered = top.withColumn("row_num", F.row_number().over(Window.orderBy(KEY)))
-    else:
-        numbered = dense_key_id(raw, KEY).where(F.col("row_num") <= reach)
+def key_minutes(raw: DataFrame, rules: Sequence[DeliveryRule] = DELIVERY_RULES) -> DataFrame:
+    """``(HAWB_No, after_dynamic, after_actual)`` for the waybills that a rule covers, numbered in key order."""
     number = F.col("row_num")
-    minutes = numbered.select(
+    return dense_key_id(raw, KEY).where(number <= max(rule.last for rule in rules)).select(
         KEY,
         _minutes(number, rules, "after_dynamic").alias("after_dynamic"),
         _minutes(number, rules, "after_actual").alias("after_actual"),
     ).where(F.col("after_actual").isNotNull())
-    return minutes, reach <= MAX_TOP_KEYS
-
-
-def attach_minutes(
-    rows: DataFrame, minutes: DataFrame, small: bool, max_group_rows: int | None = MAX_GROUP_ROWS
-) -> DataFrame:
-    if small:
-        return rows.join(F.broadcast(minutes), KEY, "left")
-    return join_on_key(rows, minutes, KEY, "left", max_group_rows)
 
 
 def delivery_time() -> Column:
@@ -126,13 +102,11 @@ def _event_columns(code: Column, when: Column) -> list[Column]:
 def impute_delivery(
     raw: DataFrame,
     rules: Sequence[DeliveryRule] = DELIVERY_RULES,
-    max_group_rows: int | None = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """One delivery event per hand-over row."""
     keyed = raw.where(F.col(KEY).isNotNull())
-    minutes, small = key_minutes(keyed, rules)
     handed = parse_milestones(keyed.where(F.col("Milestone") == HANDED_OVER))
-    return attach_minutes(handed, minutes, small, max_group_rows).select(
+    return handed.join(key_minutes(keyed, rules), KEY, "left").select(
         *_event_columns(F.lit(DELIVERED), delivery_time())
     )
 
@@ -147,7 +121,6 @@ def prepare_events(
     raw: DataFrame,
     codes: Sequence[str] = EVENT_CODES,
     rules: Sequence[DeliveryRule] = DELIVERY_RULES,
-    max_group_rows: int | None = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Event table: the happened milestones and the derived deliveries, in one pass over the rows.
 
@@ -155,10 +128,9 @@ def prepare_events(
     none are filtered before anything else, so the filter reaches the scan.
     """
     keyed = raw.where(F.col(KEY).isNotNull())
-    minutes, small = key_minutes(keyed, rules)
     happened = F.col("Actual").isNotNull() & F.col("Milestone").isin(*codes)
     delivers = F.col("Milestone") == HANDED_OVER if DELIVERED in codes else F.lit(False)
-    timed = attach_minutes(parse_milestones(keyed.where(happened | delivers)), minutes, small, max_group_rows)
+    timed = parse_milestones(keyed.where(happened | delivers)).join(key_minutes(keyed, rules), KEY, "left")
     event = lambda code, when: F.struct(code.alias("code"), when.alias("at"))
     both = F.array(
         F.when(happened, event(F.col("Milestone"), F.col("actual_date"))),

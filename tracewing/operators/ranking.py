@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import settle
-from .skew import MAX_GROUP_ROWS, join_on_key
 
 _LOCAL_BITS = (1 << 33) - 1  # low bits of monotonically_increasing_id: position in its partition
 
@@ -40,10 +39,10 @@ def dense_key_id(df: DataFrame, key: str, name: str = "row_num") -> DataFrame:
 
 
 def attach_key_id(
-    df: DataFrame, key: str, name: str = "row_num", max_group_rows: int | None = MAX_GROUP_ROWS
+    df: DataFrame, key: str, name: str = "row_num"
 ) -> DataFrame:
     """Inner join of the rows with their key's number; rows with a NULL key drop out."""
-    return join_on_key(df.where(F.col(key).isNotNull()), dense_key_id(df, key, name), key, "inner", max_group_rows)
+    return df.where(F.col(key).isNotNull()).join(dense_key_id(df, key, name), key)
 
 
 def running_totals(

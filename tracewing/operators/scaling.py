@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import to_double
-from .skew import MAX_GROUP_ROWS, join_on_key
 
 
 @dataclass(frozen=True)
@@ -27,7 +26,8 @@ class ColumnScale:
         return (self.imputed() - F.lit(self.mean)) / F.lit(self.deviation)
 
     def scaled_sql(self) -> str:
-        value = f"coalesce(try_cast(`{self.name}` as double), {self.mean!r}D)"
+        number = f"try_cast(`{self.name}` as double)"
+        value = f"coalesce(case when abs({number}) < double('Infinity') then {number} end, {self.mean!r}D)"
         return f"({value} - {self.mean!r}D) / {self.deviation!r}D"
 
 
@@ -59,7 +59,7 @@ def standardize(df: DataFrame, scales: Sequence[ColumnScale]) -> DataFrame:
 
 
 def one_hot_rows(
-    df: DataFrame, known: DataFrame, columns: Sequence[str], key: str, max_group_rows: int | None = MAX_GROUP_ROWS
+    df: DataFrame, known: DataFrame, columns: Sequence[str], key: str
 ) -> DataFrame:
     """One-hot coding in long form: ``(key, column, value, known)`` with 1 where training saw the value.
 
@@ -73,5 +73,5 @@ def one_hot_rows(
     pair = F.struct("column", "value").alias("_pair")
     seen = long(known).where(F.col("value").isNotNull()).distinct().select(pair, F.lit(1).alias("known"))
     # a common value may hold a large share of the rows
-    joined = join_on_key(long(df, key).select("*", pair), seen, "_pair", "left", max_group_rows)
+    joined = long(df, key).select("*", pair).join(seen, "_pair", "left")
     return joined.select(key, "column", "value", F.coalesce("known", F.lit(0)).alias("known"))

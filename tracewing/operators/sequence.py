@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import hours_between, is_code
-from .skew import MAX_GROUP_ROWS, with_neighbours
+from .skew import with_neighbours
 
 KEY = "awbNo"
 
@@ -23,10 +23,9 @@ def next_flag_label(
     flag: str = "statusBinary",
     name: str = "statusTarget",
     key: str = KEY,
-    max_group_rows: int | None = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Flag of the following event; 0 for the last event of a waybill."""
-    out = with_neighbours(df, [key], order, ahead={name: F.col(flag)}, max_group_rows=max_group_rows)
+    out = with_neighbours(df, [key], order, ahead={name: F.col(flag)})
     return out.fillna({name: 0})
 
 
@@ -36,10 +35,9 @@ def hours_to_next(
     ts: str = "eventDate",
     name: str = "eventDate_diff_hours",
     key: str = KEY,
-    max_group_rows: int | None = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Hours until the following event; 0 where there is none or a time is missing."""
-    out = with_neighbours(df, [key], order, ahead={"_next": F.col(ts)}, max_group_rows=max_group_rows)
+    out = with_neighbours(df, [key], order, ahead={"_next": F.col(ts)})
     return out.withColumn(name, F.coalesce(hours_between(ts, "_next"), F.lit(0.0))).drop("_next")
 
 
@@ -49,10 +47,9 @@ def hours_since_previous(
     ts: str = "eventDate",
     name: str = "eventDate_diff_hours",
     key: str = KEY,
-    max_group_rows: int | None = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Hours since the preceding event; 0 where there is none or a time is missing."""
-    out = with_neighbours(df, [key], order, behind={"_prev": F.col(ts)}, max_group_rows=max_group_rows)
+    out = with_neighbours(df, [key], order, behind={"_prev": F.col(ts)})
     return out.withColumn(name, F.coalesce(hours_between("_prev", ts), F.lit(0.0))).drop("_prev")
 
 
@@ -64,11 +61,10 @@ def duration_to_next_event(
     ts: str = "eventDate",
     name: str = "duration_dlv_pod",
     key: str = KEY,
-    max_group_rows: int | None = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """On ``from_code`` rows, hours to the next event if that one is ``to_code``; else NULL."""
     reached = F.when(F.col("eventCode") == to_code, F.col(ts))
-    out = with_neighbours(df, [key], order, ahead={"_reached": reached}, max_group_rows=max_group_rows)
+    out = with_neighbours(df, [key], order, ahead={"_reached": reached})
     hours = F.when(F.col("eventCode") == from_code, hours_between(ts, "_reached"))
     return out.withColumn(name, hours).drop("_reached")
 

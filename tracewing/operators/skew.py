@@ -1,14 +1,10 @@
-"""Keeping one heavy key from becoming one heavy task.
+"""Neighbouring rows within a key, in one plan whatever share of the rows a key has.
 
-Spark hashes every row of a key to one task, both for a window and for a
-join.  The helpers here first count rows per key (a map-side combined count
-over the key column alone).  Keys above ``max_group_rows`` number at most
-``rows / max_group_rows``, which bounds everything that is broadcast below.
-With no such key, the plain plan is used.
-
-* ``ordered_chunks`` cuts a heavy key into consecutive runs of its own order.
-* ``join_on_key`` salts a heavy key and repeats its few partner rows per salt.
-* ``split_members`` spreads the members of a heavy key over several parts.
+Rows are range-partitioned by key and order, so the ranges are even and a heavy
+key is spread over several of them.  Windows work inside a range, and the rows
+at a range's ends look beyond it through a table with one row per range.  The
+ranged rows are checkpointed, so both branches see the same ranges and a lost
+executor does not change them.
 """
 
 from __future__ import annotations
@@ -20,149 +16,7 @@ from pyspark.sql import functions as F
 
 from ..session import settle
 
-MAX_GROUP_ROWS = 4_000_000
-# more chunks of one key than this would not spread better; a chunk then holds 1/4096 of the key
-MAX_CHUNKS = 4096
-ANY_NUMBER = 2**31 - 1
-SAMPLES_PER_CHUNK = 20
-EDGES_PER_BLOCK = 64
-
-CHUNK = "_chunk"
-
-
-def heavy_keys(
-    df: DataFrame, keys: Sequence[str], max_group_rows: int | None, max_shares: int = MAX_CHUNKS
-) -> DataFrame | None:
-    """Keys with more than ``max_group_rows`` rows as ``(_key0.., _rows, _shares)``, or None.
-
-    ``_shares`` is the number of pieces the key should be cut into.  The counts
-    are exact and the result is checkpointed, so every branch sees the same keys.
-    """
-    if max_group_rows is None:
-        return None
-    counted = (
-        df.groupBy(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)])
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .where(F.col("_rows") > max_group_rows)
-        .withColumn("_shares", F.least(F.ceil(F.col("_rows") / max_group_rows), F.lit(max_shares)).cast("int"))
-    )
-    counted = settle(counted)
-    return None if counted.isEmpty() else counted
-
-
-def _same_key(df: DataFrame, keys: Sequence[str], other: DataFrame) -> Column:
-    match = F.lit(True)
-    for i, k in enumerate(keys):
-        match = match & df[k].eqNullSafe(other[f"_key{i}"])
-    return match
-
-
-def _key_names(keys: Sequence[str]) -> list[str]:
-    return [f"_key{i}" for i in range(len(keys))]
-
-
-def _position(order: Sequence[str]) -> Column:
-    # struct comparison orders field by field with NULL first, like the window order
-    return F.struct(*[F.col(c) for c in order])
-
-
-def chunk_edges(df: DataFrame, keys: Sequence[str], order: Sequence[str], max_group_rows: int | None) -> DataFrame | None:
-    """Cut points of every heavy key along ``order`` as ``(_key0.., _blocks)``, or None.
-
-    The points come from rows picked by a hash of their position, about
-    ``SAMPLES_PER_CHUNK`` per chunk.  They only decide where to cut: every row
-    still takes part, and the outcome is the same wherever the cuts fall.
-    """
-    heavy = heavy_keys(df, keys, max_group_rows)
-    if heavy is None:
-        return None
-    names = _key_names(keys)
-    stride = F.greatest(F.lit(1), F.floor(F.col("_rows") / (F.col("_shares") * SAMPLES_PER_CHUNK)))
-    picked = (
-        df.select(*keys, *[c for c in order if c not in keys])
-        .join(F.broadcast(heavy), _same_key(df, keys, heavy), "inner")
-        .where(F.pmod(F.xxhash64(*[F.col(c) for c in order]), stride) == 0)
-        .groupBy(*names)
-        .agg(F.array_sort(F.collect_set(_position(order))).alias("_picked"), F.first("_shares").alias("_shares"))
-    )
-    step = F.greatest(F.lit(1), F.floor(F.size("_picked") / F.col("_shares"))).cast("int")
-    edges = picked.withColumn("_step", step).select(
-        *names, F.filter("_picked", lambda _, i: (i > 0) & (i % F.col("_step") == 0)).alias("_edges")
-    )
-    # blocks of edges: a row compares with the block heads, then within one block
-    starts = F.sequence(F.lit(0), F.floor((F.size("_edges") - 1) / EDGES_PER_BLOCK).cast("int"))
-    blocks = F.transform(starts, lambda b: F.slice("_edges", b * EDGES_PER_BLOCK + 1, EDGES_PER_BLOCK))
-    return settle(edges.where(F.size("_edges") > 0).select(*names, blocks.alias("_blocks")))
-
-
-def ordered_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str], edges: DataFrame) -> DataFrame:
-    """Add ``_chunk``: 0 for ordinary keys, else the number of edges at or before the row.
-
-    ``_edge`` marks rows that lie on an edge: each chunk but the first begins with one.
-    """
-    at = _position(order)
-    head = F.size(F.filter("_blocks", lambda b: b[0] <= at))
-    block = F.get("_blocks", head - 1)
-    inside = F.size(F.filter(block, lambda e: e <= at))
-    joined = df.join(F.broadcast(edges), _same_key(df, keys, edges), "left")
-    placed = joined.withColumn("_in", F.when(head > 0, F.struct(head.alias("head"), inside.alias("inside"))))
-    return placed.withColumns(
-        {
-            CHUNK: F.coalesce((F.col("_in.head") - 1) * EDGES_PER_BLOCK + F.col("_in.inside"), F.lit(0)),
-            "_heavy": F.col("_blocks").isNotNull(),
-            "_edge": F.coalesce(F.get(F.get("_blocks", F.col("_in.head") - 1), F.col("_in.inside") - 1) == at, F.lit(False)),
-        }
-    ).drop(*_key_names(keys), "_blocks", "_in")
-
-
-def join_on_key(
-    left: DataFrame,
-    right: DataFrame,
-    key: str,
-    how: str = "inner",
-    max_group_rows: int | None = MAX_GROUP_ROWS,
-) -> DataFrame:
-    """Join where ``left`` may hold a heavy key and ``right`` has few rows per key.
-
-    Heavy keys get a salt on the left, from a hash of the row, and one copy per
-    salt on the right.  Ordinary keys keep salt 0, so nothing else is copied.
-    ``how`` is ``inner`` or ``left``.
-    """
-    if how not in ("inner", "left"):
-        raise ValueError("copies on the right would repeat rows for other join types")
-    heavy = heavy_keys(left, [key], max_group_rows)
-    if heavy is None:
-        return left.join(right, key, how)
-    shares = F.coalesce(F.col("_shares"), F.lit(1))
-    row_hash = F.xxhash64(*[F.col(c) for c in left.columns])
-    salted = (
-        left.join(F.broadcast(heavy), _same_key(left, [key], heavy), "left")
-        .withColumn("_salt", F.pmod(row_hash, shares).cast("int"))
-        .drop("_key0", "_rows", "_shares")
-    )
-    copies = (
-        right.join(F.broadcast(heavy), _same_key(right, [key], heavy), "left")
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), shares - 1)))
-        .drop("_key0", "_rows", "_shares")
-    )
-    return salted.join(copies, [key, "_salt"], how).drop("_salt")
-
-
-def split_members(df: DataFrame, key: str, member: str, max_members: int | None) -> DataFrame:
-    """Add ``part``: 0 for ordinary keys, else one of enough parts to hold about ``max_members`` each."""
-    heavy = heavy_keys(df, [key], max_members, max_shares=ANY_NUMBER)
-    if heavy is None:
-        return df.withColumn("part", F.lit(0))
-    part = F.pmod(F.xxhash64(F.col(member)), F.coalesce(F.col("_shares"), F.lit(1))).cast("int")
-    return (
-        df.join(F.broadcast(heavy), _same_key(df, [key], heavy), "left")
-        .withColumn("part", part)
-        .drop("_key0", "_rows", "_shares")
-    )
-
-
-def _shift_window(keys: Sequence[str], order: Sequence[str]) -> Window:
-    return Window.partitionBy(*keys).orderBy(*[F.col(c).asc_nulls_first() for c in order])
+RANGE, TIE = "_range", "_tie"
 
 
 def with_neighbours(
@@ -171,60 +25,44 @@ def with_neighbours(
     order: Sequence[str],
     ahead: dict[str, Column] | None = None,
     behind: dict[str, Column] | None = None,
-    max_group_rows: int | None = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Add expressions taken from the next (``ahead``) and previous (``behind``) row of the key.
 
-    ``order`` must be unique within a key for a repeatable result.  A heavy key
-    is cut into chunks; only the last row of a chunk looks into the next one,
-    through a small table of chunk ends.
+    Rows follow ``order`` with NULL first; a hash of the whole row settles what
+    that leaves open, so remaining ties are equal rows and the result does not
+    depend on how the input was laid out.  Without ``keys`` all rows are one
+    sequence.
     """
     ahead, behind = ahead or {}, behind or {}
-    edges = chunk_edges(df, keys, order, max_group_rows)
-    if edges is None:
-        w = _shift_window(keys, order)
-        return df.withColumns(
-            {n: F.lead(e).over(w) for n, e in ahead.items()} | {n: F.lag(e).over(w) for n, e in behind.items()}
-        )
-
-    marked = ordered_chunks(df, keys, order, edges)
-    w = _shift_window([*keys, CHUNK], order)
-    out = marked.withColumns(
-        {"_more": F.lead(F.lit(1)).over(w), "_less": F.lag(F.lit(1)).over(w)}
-        | {f"_ahead_{n}": F.lead(e).over(w) for n, e in ahead.items()}
-        | {f"_behind_{n}": F.lag(e).over(w) for n, e in behind.items()}
-    )
-    if ahead:
-        # the first row of a chunk lies on an edge, so it is found without grouping
-        first = marked.where("_edge").select(
-            *_aliased(keys), (F.col(CHUNK) - 1).alias("_at"), F.struct(*[e.alias(n) for n, e in ahead.items()]).alias("_first")
-        )
-        out = _join_ends(out, keys, first.dropDuplicates([*_key_names(keys), "_at"]))
-    if behind:
-        last = (
-            marked.where("_heavy")
-            .groupBy(*_aliased(keys), (F.col(CHUNK) + 1).alias("_at"))
-            .agg(F.max_by(F.struct(*[e.alias(n) for n, e in behind.items()]), _position(order)).alias("_last"))
-        )
-        out = _join_ends(out, keys, last)
-    return out.select(
-        *df.columns,
-        *[
-            F.when(F.col("_more").isNull(), F.col(f"_first.{n}")).otherwise(F.col(f"_ahead_{n}")).alias(n)
-            for n in ahead
-        ],
-        *[
-            F.when(F.col("_less").isNull(), F.col(f"_last.{n}")).otherwise(F.col(f"_behind_{n}")).alias(n)
-            for n in behind
-        ],
+    tied = df.withColumn(TIE, F.xxhash64(*[F.col(c) for c in df.columns]))
+    line = [*keys, *[c for c in order if c not in keys], TIE]
+    ranged = settle(
+        tied.repartitionByRange(*[F.col(c).asc_nulls_first() for c in line]).withColumn(RANGE, F.spark_partition_id())
     )
 
+    def values(made: dict[str, Column]) -> Column:
+        return F.struct(F.lit(True).alias("_there"), *[e.alias(n) for n, e in made.items()])
 
-def _aliased(keys: Sequence[str]) -> list[Column]:
-    return [F.col(k).alias(n) for k, n in zip(keys, _key_names(keys))]
+    inside = Window.partitionBy(RANGE, *keys).orderBy(*[F.col(c).asc_nulls_first() for c in line[len(keys) :]])
+    near = ranged.withColumns({"_next": F.lead(values(ahead)).over(inside), "_last": F.lag(values(behind)).over(inside)})
 
-
-def _join_ends(rows: DataFrame, keys: Sequence[str], ends: DataFrame) -> DataFrame:
-    """Attach the row beyond a chunk's end; there is one per chunk of a heavy key."""
-    match = _same_key(rows, keys, ends) & (rows[CHUNK] == ends["_at"]) & rows["_heavy"]
-    return rows.join(F.broadcast(ends), match, "left").drop(*_key_names(keys), "_at")
+    # struct comparison orders field by field with NULL first, like the ranges
+    key = F.struct(F.lit(0).alias("_k"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)])
+    place = F.struct(*[F.col(c) for c in line])
+    ends = ranged.groupBy(F.col(RANGE).alias("_end_of")).agg(
+        F.min_by(F.struct(key.alias("key"), values(ahead).alias("row")), place).alias("_first"),
+        F.max_by(F.struct(key.alias("key"), values(behind).alias("row")), place).alias("_final"),
+    )
+    ranges = Window.orderBy("_end_of")  # one row per range
+    beyond = ends.select(
+        "_end_of", F.lead("_first").over(ranges).alias("_after"), F.lag("_final").over(ranges).alias("_before")
+    )
+    joined = near.join(F.broadcast(beyond), F.col(RANGE) == F.col("_end_of"), "left")
+    following = F.coalesce("_next", F.when(F.col("_after.key").eqNullSafe(key), F.col("_after.row")))
+    preceding = F.coalesce("_last", F.when(F.col("_before.key").eqNullSafe(key), F.col("_before.row")))
+    found = joined.withColumns({"_next": following, "_last": preceding})
+    return found.select(
+        *df.columns,
+        *[F.col(f"_next.{n}").alias(n) for n in ahead],
+        *[F.col(f"_last.{n}").alias(n) for n in behind],
+    )

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import hash_bucket, to_double
+from ..functions.columns import hash_bucket, key_text, to_double
 
 
 def event_code_counts(df: DataFrame) -> DataFrame:
@@ -61,8 +61,7 @@ def column_mode(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def seeded_sample(df: DataFrame, keys: Sequence[str], n: int, seed: int) -> DataFrame:
     """At most ``n`` rows, the same ones for the same seed whatever the partitioning."""
-    text = F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys])
-    ranked = df.withColumn("_pick", F.md5(text))
+    ranked = df.withColumn("_pick", F.md5(key_text(F.lit(str(seed)), *keys)))
     return ranked.orderBy("_pick", *keys).limit(n).drop("_pick")
 
 

@@ -12,27 +12,39 @@ from pyspark.sql import functions as F
 from ..functions.columns import name_based_id
 from ..operators import learning
 from ..operators.documents import (
-    MAX_MEMBERS,
+    PAGE_SIZE,
     Names,
+    booking_documents,
     event_documents,
     outbox,
     piece_documents,
     shipment_documents,
+    waybill_documents,
 )
 from ..operators.features import TIE_BREAKERS, delivery_features, irregularity_features
-from ..operators.jsonld import flatten_documents
+from ..operators.jsonld import flatten_documents, rejected_documents
 from ..operators.milestones import DELIVERY_RULES, EVENT_CODES, DeliveryRule, prepare_events
-from ..operators.skew import MAX_GROUP_ROWS, join_on_key
 from ..operators.stats import hash_split, shipment_rollup
 from ..schema import DOCUMENTS, PUBLISH_INPUT, require_columns
 from ..sources.readers import read_milestones_csv
 from ..sources.writers import append_parquet, write_events, write_events_csv
 
 
-def ingest(docs: DataFrame, path: str) -> None:
-    """Flatten documents and append their triples below one folder per kind of object."""
+def ingest(docs: DataFrame, path: str, rejects_path: str | None = None) -> None:
+    """Flatten documents and append their triples below one folder per kind of object.
+
+    Documents that can't be read are appended to ``rejects_path``; without one,
+    the first of them raises an error before anything is written.
+    """
     require_columns(docs, DOCUMENTS.fieldNames(), "ingest")
     kinds = docs.withColumnRenamed("kind", "object_kind")
+    rejected = rejected_documents(kinds, keep=["object_kind"])
+    if rejects_path:
+        append_parquet(rejected, rejects_path)
+    else:
+        bad = rejected.first()
+        if bad is not None:
+            raise ValueError(f"document {bad['doc_url']} can't be read ({bad['reason']}); name a rejects_path to go on")
     append_parquet(flatten_documents(kinds, keep=["object_kind"]), path, ["object_kind"])
 
 
@@ -85,11 +97,10 @@ def score_irregularity(
     events: DataFrame,
     model: PipelineModel,
     tie_breakers: Sequence[str] = TIE_BREAKERS,
-    max_group_rows: int | None = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """All input columns and ``irregProbability``, in one plan: scores never leave their row."""
     rows = irregularity_features(
-        events, tie_breakers, keep=events.columns, typed=False, max_group_rows=max_group_rows
+        events, tie_breakers, keep=events.columns, typed=False,
     )
     return model.transform(rows).select(*events.columns, vector_to_array("probability")[1].alias("irregProbability"))
 
@@ -99,21 +110,25 @@ def publish(
     pieces: DataFrame,
     names: Names = Names(),
     recorder: str = "carrier",
-    max_members: int | None = MAX_MEMBERS,
-    max_group_rows: int | None = MAX_GROUP_ROWS,
+    page_size: int = PAGE_SIZE,
+    waybills: DataFrame | None = None,
+    legs: DataFrame | None = None,
+    actual: DataFrame | None = None,
 ) -> DataFrame:
     """Outbox rows for the shipments, pieces and predicted events of scored waybills.
 
-    ``pieces`` has ``awbNo, piece_id, weight``.  Only pieces of waybills with a
-    scored event are published.  Shipment identifiers are made from the waybill,
-    so publishing again addresses the same objects.
+    ``pieces`` has ``awbNo, piece_id, weight``.  Every scored waybill gets its
+    shipment, with or without pieces; only pieces of scored waybills are
+    published.  An event without a waybill is published without a link.
+    Shipment identifiers are made from the waybill, so publishing again
+    addresses the same objects.  ``waybills``, ``legs`` and ``actual`` have the
+    columns of the waybill, booking and event builders and add their documents.
     """
     require_columns(scored, PUBLISH_INPUT, "publish")
-    shipment = name_based_id(F.lit("shipment"), "awbNo")
+    shipment = F.when(F.col("awbNo").isNotNull(), name_based_id(F.lit("shipment"), "awbNo"))
     known = shipment_rollup(scored).select("awbNo").where(F.col("awbNo").isNotNull())
-    mine = join_on_key(pieces, known, "awbNo", "inner", max_group_rows).withColumns(
-        {"shipment_id": shipment, "waybill_id": F.concat(F.lit("awb-"), F.col("awbNo"))}
-    )
+    ids = {"shipment_id": shipment, "waybill_id": F.concat(F.lit("awb-"), F.col("awbNo"))}
+    mine = known.join(pieces.select("awbNo", "piece_id", "weight"), "awbNo", "left").withColumns(ids)
     events = scored.select(
         F.col("eventCode").alias("event_code"),
         F.col("eventDate").alias("event_ts"),
@@ -123,8 +138,14 @@ def publish(
         F.col("irregProbability").alias("probability"),
     )
     docs = (
-        shipment_documents(mine, names, max_members=max_members)
-        .unionByName(piece_documents(mine, names))
+        shipment_documents(mine, names, page_size=page_size)
+        .unionByName(piece_documents(mine.where(F.col("piece_id").isNotNull()), names))
         .unionByName(event_documents(events, "Predicted", names))
     )
+    if waybills is not None:
+        docs = docs.unionByName(waybill_documents(waybills, names))
+    if legs is not None:
+        docs = docs.unionByName(booking_documents(legs, names, page_size))
+    if actual is not None:
+        docs = docs.unionByName(event_documents(actual, "Actual", names))
     return outbox(docs, names)
