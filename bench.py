@@ -26,7 +26,8 @@ CPUS = os.environ.get("BENCH_CPUS", "8")
 PLAIN = (
     "prepare_events", "impute_delivery", "attach_key_id", "hours_to_next", "hot_waybill_durations",
     "irregularity_features", "pod_features", "shipment_rollup", "classification_metrics", "ranking_metrics",
-    "shipment_jsonld", "event_jsonld_predicted", "publish_outbox", "train_gbt",
+    "shipment_jsonld", "event_jsonld_predicted", "publish_outbox", "train_gbt", "train_forest", "tune_forest",
+    "jsonld_ref_join",
 )
 
 

@@ -592,7 +592,7 @@ def regression_metrics(spark, sf_dir):
     return _rounded(metrics.regression_metrics(_judged(spark, sf_dir), ["split"], "target", "guess"))
 
 
-# ---- models: no SQL form -------------------------------------------------------------------------------------------
+# ---- models: SQL states what must hold of them ----------------------------------------------------------------------
 
 
 def _irregularity(spark, sf_dir, estimator) -> DataFrame:
@@ -604,6 +604,32 @@ def train_tree(spark, sf_dir):
     return _irregularity(spark, sf_dir, learning.decision_tree())
 
 
+_TARGETS = f"""select event_id, awbNo, eventCode, {_SPLIT} train_test_split,
+  coalesce(lead(case when eventCode = 'DIS' then 1 else 0 end) {_W}, 0) status_target from milestone_events"""
+_LABEL_COUNTS = f"""select train_test_split, count(*) example_count, sum(status_target)::bigint positives
+  from ({_TARGETS}) group by 1"""
+
+
+def _label_counts(measured: DataFrame) -> DataFrame:
+    positives = (F.col("true_positives") + F.col("false_negatives")).cast("bigint").alias("positives")
+    return measured.select("train_test_split", F.col("example_count").cast("bigint").alias("example_count"), positives)
+
+
+@query(with_views(_LABEL_COUNTS, "milestone_events"))
+def train_tree_label_counts(spark, sf_dir):
+    return _label_counts(_irregularity(spark, sf_dir, learning.decision_tree()))
+
+
+@query(with_views(_LABEL_COUNTS, "milestone_events"))
+def train_logistic_label_counts(spark, sf_dir):
+    return _label_counts(_irregularity(spark, sf_dir, learning.logistic_regression))
+
+
+@query(with_views(_LABEL_COUNTS, "milestone_events"))
+def train_gbt_label_counts(spark, sf_dir):
+    return _label_counts(_irregularity(spark, sf_dir, learning.boosted_classifier()))
+
+
 @query()
 def train_forest(spark, sf_dir):
     return _irregularity(spark, sf_dir, learning.random_forest())
@@ -628,7 +654,8 @@ def train_gbt_regressor(spark, sf_dir):
 def tune_forest(spark, sf_dir):
     rows = flows.irregularity_training_rows(milestone_events(spark, sf_dir), KEYS, TIES)
     return learning.tune(
-        rows, learning.IRREGULARITY, [learning.decision_tree(), learning.boosted_classifier()], "recall_score"
+        rows, learning.IRREGULARITY,
+        [learning.random_forest(20), learning.decision_tree(), learning.boosted_classifier()], "recall_score",
     )[1]
 
 
@@ -641,6 +668,37 @@ def score_irregularity(spark, sf_dir):
     return flows.score_irregularity(events, learning.load_model(path), TIES)
 
 
+@query(with_views("select event_id, awbNo, eventCode, true in_range, true same_when_loaded from milestone_events", "milestone_events"))
+def score_irregularity_facts(spark, sf_dir):
+    """Scores are probabilities, a saved model scores as before, and input columns stay as they were."""
+    events = milestone_events(spark, sf_dir)
+    model = flows.train_irregularity(events, KEYS, learning.boosted_classifier(), TIES).model
+    path = scratch_path(spark, "model")
+    learning.save_model(model, path)
+    before, after = (
+        flows.score_irregularity(events, m, TIES).select("event_id", "awbNo", "eventCode", F.col("irregProbability").alias(n))
+        for m, n in ((model, "before"), (learning.load_model(path), "after"))
+    )
+    joined = before.join(after.select("event_id", "after"), "event_id")
+    return joined.select(
+        "event_id", "awbNo", "eventCode", F.col("after").between(0, 1).alias("in_range"),
+        (F.col("before") == F.col("after")).alias("same_when_loaded"),
+    )
+
+
+@query("select 1.0::double total, true every_input")
+def feature_importance_total(spark, sf_dir):
+    """Importances add up to one, and every input has its positions in the vector."""
+    rows = flows.irregularity_training_rows(milestone_events(spark, sf_dir), KEYS, TIES)
+    model = learning.train(rows, learning.IRREGULARITY, learning.boosted_classifier()).model
+    inputs = learning.IRREGULARITY
+    found = learning.feature_importance(model, rows)
+    present = F.lit(True)
+    for name in [*inputs.numeric, *inputs.categories, *inputs.flags]:
+        present = present & (F.count_if(F.col("name").contains(name)) > 0)
+    return found.agg(F.round(F.sum("importance"), 6).alias("total"), present.alias("every_input"))
+
+
 @query()
 def feature_importance(spark, sf_dir):
     rows = flows.irregularity_training_rows(milestone_events(spark, sf_dir), KEYS, TIES)
@@ -653,7 +711,9 @@ def permutation_importance(spark, sf_dir):
     model = learning.train(rows, learning.IRREGULARITY, learning.boosted_classifier()).model
     held_out = rows.where(F.col("train_test_split") == "test").withColumn("label", F.col("statusTarget").cast("double"))
     accuracy = lambda scored: scored.agg(F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("value"))
-    return importance.permutation_importance(model, held_out, ["eventDate_diff_hours", "eventCode"], KEYS, accuracy)
+    inputs = learning.IRREGULARITY
+    columns = [*inputs.numeric, *inputs.categories, *inputs.flags]
+    return importance.permutation_importance(model, held_out, columns, KEYS, accuracy)
 
 
 # ---- documents -----------------------------------------------------------------------------------------------------
@@ -786,6 +846,47 @@ def publish_outbox(spark, sf_dir):
     return spark.read.schema("endpoint string, body string, kind string").json(path).select("endpoint", "kind", "body")
 
 
+@query(
+    with_views(
+        """select count(distinct awbNo) filter (event_id % 11 <> 0) shipments, count(*) events,
+          count(*) filter (event_id % 11 = 0) unlinked, 0::bigint dangling from scored_events""",
+        "scored_events",
+    )
+)
+def publish_dangling_links(spark, sf_dir):
+    """Waybills without pieces and events without a waybill: no event links to a shipment that is not published."""
+    scored = scored_events(spark, sf_dir).withColumn("awbNo", F.when(F.col("event_id") % 11 != 0, F.col("awbNo")))
+    pieces = scored.where("event_id % 97 = 0").select(
+        "awbNo", F.concat(F.lit("piece-"), F.col("event_id").cast("string")).alias("piece_id"),
+        F.col("wgt_chargeable").alias("weight"),
+    )
+    out = flows.publish(scored, pieces, NAMES)
+    shipments = out.where("kind = 'shipment'").select(F.get_json_object("body", "$['@id']").alias("url")).distinct()
+    events = out.where("kind = 'event'").select(F.nullif(F.replace("endpoint", F.lit("/logistics-events"), F.lit("")), F.lit(BASE)).alias("linked"))
+    joined = events.join(shipments.withColumn("published", F.lit(True)), F.col("linked") == F.col("url"), "left")
+    counted = joined.agg(
+        F.count(F.lit(1)).alias("events"),
+        F.count_if(F.col("linked").isNull()).alias("unlinked"),
+        F.count_if(F.col("linked").isNotNull() & F.col("published").isNull()).alias("dangling"),
+    )
+    return counted.withColumn("shipments", F.lit(shipments.count()).cast("bigint"))
+
+
+@query(
+    """select 'u' || event_id doc_url, case event_id % 5 when 0 then 'no JSON, or larger than a value of 128 MiB or a string of 16 MiB'
+      when 1 then 'empty text' else 'no text' end reason from events where event_id % 5 < 3"""
+)
+def flatten_rejects(spark, sf_dir):
+    """Documents that can't be read are told, one by one; repeated members are read."""
+    n = F.col("event_id") % 5
+    body = (
+        F.when(n == 0, F.concat(F.lit("{broken "), "props")).when(n == 1, " ").when(n == 3, '{"@id":"z","a":1,"a":2}')
+        .when(n == 4, F.col("props"))
+    )
+    events = table(spark, sf_dir, "events").select(F.concat(F.lit("u"), F.col("event_id").cast("string")).alias("doc_url"), body.alias("body"))
+    return jsonld.rejected_documents(events).select("doc_url", "reason")
+
+
 # ---- sources and sinks ---------------------------------------------------------------------------------------------
 
 

@@ -183,7 +183,8 @@ def event_documents(events: DataFrame, time_type: str = "Actual", names: Names =
     """From ``event_code, event_ts, linked_id, location_id, recorder_id`` and, if predicted, ``probability``.
 
     Events have no identifier of their own.  Their address is the event list of
-    the object they belong to, with a digest of the text to tell them apart.
+    the object they belong to, or a common one for events without an object,
+    with a digest of the text to tell them apart.
     """
     if time_type not in ("Actual", "Predicted"):
         raise ValueError("time_type is Actual or Predicted")
@@ -201,7 +202,7 @@ def event_documents(events: DataFrame, time_type: str = "Actual", names: Names =
         "recordedBy": names.ref("recorder_id"),
     }
     texts = events.select(
-        F.concat(names.url("linked_id"), F.lit("/logistics-events")).alias("list"),
+        F.concat(F.coalesce(names.url("linked_id"), F.lit(names.base)), F.lit("/logistics-events")).alias("list"),
         F.to_json(_node(names, None, "LogisticsEvent", members)).alias("body"),
     )
     return texts.select(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -32,14 +33,14 @@ def build_session(app: str = "tracewing", master: str | None = None, **conf: str
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's ``spark.checkpoint.dir``, also made the context's checkpoint folder.
 
-    A machine-local folder is only ever chosen in local mode, where the driver
-    and the executors are one process.
+    A machine-local folder is only ever chosen where driver and executors are
+    one process, which ``local-cluster`` is not.
     """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     current = context.getCheckpointDir()
     if named is None and current is None:
-        if not context.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
         named = tempfile.mkdtemp(prefix="tracewing-")
     if current is None:
