@@ -56,13 +56,13 @@ from {milestone_events} m"""
 _WAYBILLS = """
 select o_orderkey, concat('awb-N', cast(c_nationkey as string), '-', cast(o_orderkey as string)) waybill_id,
   concat('loc-', cast(c_nationkey as string)) departure, concat('loc-', cast((c_nationkey + 7) % 25 as string)) arrival,
-  concat('organization-', cast(o_custkey as string)) shipper, 'organization-cne' consignee, 'company-fwd' forwarder,
+  concat('party-', cast(o_custkey as string)) shipper, 'party-consignee' consignee, 'party-forwarder' forwarder,
   concat('booking-', cast(o_orderkey as string)) booking_id, concat('ship-', cast(o_orderkey as string)) shipment_id
 from {orders} join {customer} on o_custkey = c_custkey"""
 
 _LINES = """
 select w.waybill_id, w.booking_id, w.shipment_id, l_linenumber sequence,
-  concat('transport-movement-', cast(l_suppkey as string)) activity_id,
+  concat('leg-', cast(l_suppkey as string)) activity_id,
   concat('piece-', w.shipment_id, '-', cast(l_linenumber as string), '-', cast(l_partkey as string), '-',
          cast(l_suppkey as string), '-', cast(cast(l_quantity as bigint) as string)) piece_id, l_quantity weight
 from {lineitem} join {waybills} w on l_orderkey = w.o_orderkey"""

@@ -89,7 +89,7 @@ def event_name(code: str | Column) -> Column:
 
 
 def waybill_parts(key: str | Column) -> Column:
-    """``awb-FRA-22510455`` or ``FRA-22510455`` to a struct of prefix and number."""
+    """``awb-KLM-70318844`` or ``KLM-70318844`` to a struct of prefix and number."""
     key = _column(key)
     return F.struct(
         F.split_part(key, F.lit("-"), F.lit(-2)).alias("prefix"),

@@ -63,6 +63,7 @@ def _documents(df: DataFrame, url: Column, kind: str, node: Column) -> DataFrame
     return df.select(url.alias("doc_url"), F.lit(kind).alias("kind"), F.to_json(node).alias("body"))
 
 
+# The member and class names below are fixed values of the documents' vocabulary.
 def waybill_documents(df: DataFrame, names: Names = Names()) -> DataFrame:
     """From ``waybill_id, departure, arrival, shipper, consignee, forwarder, booking_id, shipment_id``."""
     parties = F.array(

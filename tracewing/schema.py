@@ -17,6 +17,7 @@ RAW_MILESTONE_COLUMNS = (
 )
 RAW_MILESTONES = T.StructType([T.StructField(c, T.StringType()) for c in RAW_MILESTONE_COLUMNS])
 
+# Columns of the event table.
 EVENTS = T.StructType(
     [
         T.StructField("awbNo", T.StringType()),
@@ -32,6 +33,7 @@ EVENTS = T.StructType(
     ]
 )
 
+# Input columns of the two models.
 IRREGULARITY_INPUT = (
     "awbNo", "wgt_chargeable", "departureLocation", "arrivalLocation", "total_no_of_pieces",
     "product_code", "nature_of_goods", "commodity", "delay", "eventDate", "eventCode",
@@ -39,6 +41,7 @@ IRREGULARITY_INPUT = (
 
 DELIVERY_INPUT = tuple(EVENTS.fieldNames())
 
+# Columns that publishing needs.
 PUBLISH_INPUT = (
     "awbNo", "vol_gross", "departureLocation", "arrivalLocation", "total_no_of_pieces",
     "total_weight", "total_net_volume", "delay", "delay_code", "eventDate",
