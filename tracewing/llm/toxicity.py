@@ -233,7 +233,7 @@ def learn(
 
     sample = drawn.where("confirmed or other").mapInArrow(run, "confirmed boolean, other boolean, features binary")
     toxic, other = [], []
-    for confirmed_row, other_row, found in sample.toLocalIterator():
+    for confirmed_row, other_row, found in sample.collect():  # bounded by the samples' sizes
         ids = np.frombuffer(found, np.int32)
         toxic += [ids] * confirmed_row
         other += [ids] * other_row
