@@ -16,6 +16,7 @@ from tracewing.operators import documents as docs
 from tracewing.operators import features, importance, jsonld, learning, metrics, milestones, ranking, scaling, sequence, stats
 from tracewing.operators.skew import with_neighbours
 from tracewing.plans import flows
+from tracewing.schema import RAW_MILESTONE_COLUMNS
 from tracewing.session import scratch_path
 from tracewing.sources import readers, writers
 from tracewing.streaming.append import append_available
@@ -27,8 +28,6 @@ ORDER = ["eventDate", "event_id"]
 TIES = ("event_id",)
 KEYS = ["event_id"]
 NAMES = docs.Names()
-# waybills with more rows than this are split in the query with a hot waybill
-SPLIT_ABOVE = 1_000
 
 
 def query(sql: str | None = None):
@@ -372,7 +371,7 @@ def dlv_pod_duration(spark, sf_dir):
     )
 )
 def hot_waybill_durations(spark, sf_dir):
-    """A third of all rows in one waybill, which is cut into chunks."""
+    """A third of all rows in one waybill, which several ranges share."""
     rows = with_neighbours(
         _dated(spark, sf_dir, HOT_KEY), ["awbNo"], ORDER,
         ahead={"next": F.col("eventDate"), "reached": F.when(F.col("eventCode") == "POD", F.col("eventDate"))},
@@ -897,6 +896,16 @@ def events_parquet_roundtrip(spark, sf_dir):
     return readers.read_events(spark, path)
 
 
+@query(_prepared(milestones.EVENT_CODES))
+def prepare_from_csv(spark, sf_dir):
+    """The whole flow: milestone files with all 22 columns to the stored event table."""
+    raw = milestones_raw(spark, sf_dir)
+    files, events = scratch_path(spark, "milestone-csv"), scratch_path(spark, "prepared")
+    filled = [F.col(c) if c in raw.columns else F.lit(None).cast("string").alias(c) for c in RAW_MILESTONE_COLUMNS]
+    raw.select(*filled).write.option("header", True).csv(files)
+    return flows.prepare(spark, files, events, rules=RULES)
+
+
 @query(with_views("select event_id, awbNo, eventCode from milestone_events", "milestone_events"))
 def events_csv_roundtrip(spark, sf_dir):
     path = scratch_path(spark, "events-csv")
