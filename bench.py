@@ -18,7 +18,7 @@ from checks import queries as q  # noqa: E402
 from checks.views import milestone_events  # noqa: E402
 from tracewing.operators import jsonld, learning  # noqa: E402
 from tracewing.plans import flows  # noqa: E402
-from tracewing.session import build_session, scratch_path  # noqa: E402
+from tracewing.session import build_session, clear_scratch, scratch_path  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
@@ -61,6 +61,7 @@ def main() -> None:
             }
         )
     )
+    clear_scratch(spark)
     spark.stop()
 
 

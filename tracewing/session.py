@@ -49,8 +49,18 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path for a table below the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/tracewing/{name}-{uuid.uuid4().hex}"
+    """A fresh path for a table in the application's part of the shared folder."""
+    return f"{_scratch_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _scratch_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/tracewing/{spark.sparkContext.applicationId}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove the tables that this application wrote to its scratch paths; frames that read them end with it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_scratch_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def settle(df: DataFrame) -> DataFrame:
