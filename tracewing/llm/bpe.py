@@ -31,10 +31,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pieces, and words, kept in a worker; emptied when full.
-CACHED = 400_000
+#: Words and pieces of words kept in a worker; emptied when full.
+CACHED_WORDS, CACHED_PIECES = 350_000, 250_000
 #: Token pairs kept in a worker; emptied when full.
-CACHED_PAIRS = 500_000
+CACHED_PAIRS = 250_000
 #: Rows of a batch that are Python objects at once.
 ROWS = 128
 
@@ -217,14 +217,14 @@ class Text:
 class Bounded(dict):
     """Text to its ids as little-endian unsigned 32-bit integers, made by ``make`` where not known; emptied when full."""
 
-    def __init__(self, make: Callable[[str], bytes]):
+    def __init__(self, make: Callable[[str], bytes], most: int):
         super().__init__()
-        self.make = make
+        self.make, self.most = make, most
 
     def __missing__(self, text: str) -> bytes:
         ids = self.make(text)
         if len(text) < 100:
-            if len(self) >= CACHED:
+            if len(self) >= self.most:
                 self.clear()
             self[text] = ids
         return ids
@@ -241,8 +241,9 @@ class Codec:
     def __init__(self, content: bytes, pattern: str):
         self.vocabulary = Vocabulary(read_ranks(content))
         self.pattern = regex.compile(pattern)
-        self.pieces = Bounded(lambda p: np.array(self.vocabulary.encode_piece(p.encode()), "<u4").tobytes())
-        self.words = Bounded(lambda w: self._cut(" " + w))
+        encoded = lambda p: np.array(self.vocabulary.encode_piece(p.encode()), "<u4").tobytes()
+        self.pieces = Bounded(encoded, CACHED_PIECES)
+        self.words = Bounded(lambda w: self._cut(" " + w), CACHED_WORDS)
         self.token = self.vocabulary.bytes_of
 
     def _cut(self, text: str) -> bytes:

@@ -46,14 +46,14 @@ MISS = 1e-9
 #: Classes of a block where a group's components are compared with each other.
 BLOCK = 256
 ROWS = 256
-CACHED = 400_000
+CACHED = 200_000
 
 _MULTIPLIERS = np.random.default_rng(85).integers(1, 1 << 63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-class _Words(dict):
-    """A word's 64-bit hash; emptied when full."""
+class Words(dict):
+    """A word's 64-bit hash; one for each task, so that a worker keeps nothing between tasks; emptied when full."""
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= CACHED:
@@ -64,20 +64,17 @@ class _Words(dict):
         return value
 
 
-_words = _Words()
-
-
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(31))) * _MIX
     return h ^ (h >> np.uint64(29))
 
 
-def shingles(text: str, size: int) -> np.ndarray:
+def shingles(text: str, size: int, known: Words) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the text's word shingles."""
     words = text.encode().lower().split()  # bytes: A to Z only, and just the six ASCII blanks
     if not words:
         return np.empty(0, np.uint64)
-    hashes = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     length = min(size, len(words))
     rolled = np.full(len(words) - length + 1, length, np.uint64)
     for i in range(length):
@@ -101,10 +98,11 @@ def profiles(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str =
     """(id, text_hash, n_shingles, class, signature) of every row; class and signature are null without shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Words()
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                sets = [shingles(t, size) for t in part.column("text").to_pylist()]
+                sets = [shingles(t, size, known) for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("id"),
@@ -127,9 +125,10 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int, id_col: str, text_col:
     """(class, shingles) of the wanted (rep_id, class) rows; a filter on ids keeps other texts from being read in full."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Words()
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
-                sets = [shingles(t, size) for t in batch.slice(at, ROWS).column("text").to_pylist()]
+                sets = [shingles(t, size, known) for t in batch.slice(at, ROWS).column("text").to_pylist()]
                 sets = [s for s in sets if len(s)]
                 yield pa.RecordBatch.from_arrays(
                     [
