@@ -52,6 +52,17 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+#: Characters of a country's numbers, as registered; numbers of other lengths and countries are found, too.
+_IBAN_LENGTHS = {
+    country: length
+    for length, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK",
+        21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+        25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+        29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 
 
@@ -80,18 +91,39 @@ def _card_valid(found: str) -> bool:
     return 12 <= len(digits) <= 19 and luhn(digits)
 
 
+def _iban_ends(m: re.Match) -> tuple[list[int], int | None]:
+    """Where the words of a proposal may end so that it passes mod-97, longest first; which of these has the country's length."""
+    found, ends, usual = m.group(), [], None
+    while len(account := found.replace(" ", "")) >= 15:
+        if mod_97(account):
+            ends.append(m.start() + len(found))
+            if len(account) == _IBAN_LENGTHS.get(account[:2]):
+                usual = ends[-1]
+        found = found.rpartition(" ")[0]
+    return ends, usual
+
+
+def _behind_first_word(m: re.Match) -> int:
+    return m.start() + len(m.group().partition(" ")[0])
+
+
 def _ibans(text: str) -> Iterator[tuple[int, int]]:
-    """A proposal may have swallowed upper-case words behind the number; these are given back one by one."""
-    for m in _IBAN.finditer(text):
-        found = m.group()
-        while found:
-            account = found.replace(" ", "")
-            if len(account) < 15:
-                break
-            if len(account) <= 34 and mod_97(account):
-                yield m.start(), m.start() + len(found)
-                break
-            found = found.rpartition(" ")[0]
+    """A proposal may have swallowed upper-case words or further numbers behind its own; these are given back.
+
+    An end may pass mod-97 by chance, so the one at the country's length goes first.  Without such an end the
+    longest counts that leaves alone a number with its country's length.
+    """
+    at = 0
+    while m := _IBAN.search(text, at):
+        ends, end = _iban_ends(m)
+        if ends and end is None:
+            inner = _IBAN.search(text, _behind_first_word(m))
+            while inner and inner.start() < ends[0] and _iban_ends(inner)[1] is None:
+                inner = _IBAN.search(text, _behind_first_word(inner))
+            end = next((e for e in ends if not inner or e <= inner.start()), None)
+        if end is not None:
+            yield m.start(), end
+        at = _behind_first_word(m) if end is None else end
 
 
 class Kind(NamedTuple):
