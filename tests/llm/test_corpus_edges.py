@@ -119,6 +119,32 @@ def test_contamination_inside_a_long_document(spark):
     assert sorted((r.doc_id, r.item_id) for r in got) == [(k, k) for k in range(4)]
 
 
+def test_contamination_by_items_of_few_words(spark):
+    import random
+
+    rng = random.Random(8)
+    texts = [" ".join(rng.choices("abc", k=rng.randrange(9))) for _ in range(300)] + ["zz", "yzz", "a, b"]
+    items = ["a", "B, a!", "c b a", "a a b c", "a b c a b", "zz", "", "c c b a a b"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    cut = lambda text: "".join(c if c.isalnum() else " " for c in text.lower()).split()
+
+    def grams(words, n):
+        return {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))}
+
+    expected = []
+    for d, text in enumerate(texts):
+        for i, item in enumerate(items):
+            n = min(5, len(cut(item)))
+            shared = len(grams(cut(text), n) & grams(cut(item), n)) if n and cut(text) else 0
+            if n and shared * 100 >= 80 * len(grams(cut(item), n)):
+                expected.append((d, i, len(grams(cut(item), n)), shared))
+    got = rows_of(contamination.find_passages(docs, bench).select("doc_id", "item_id", "n_shingles", "n_shared"))
+    assert sorted(map(tuple, got)) == expected and {i for _, i, _, _ in expected} >= {0, 1, 2, 3}
+    kept = {r.doc_id for r in rows_of(contamination.drop_contaminated(docs, bench))}
+    assert kept == set(range(len(texts))) - {d for d, *_ in expected}
+
+
 def test_toxicity(spark, docs, empty):
     labels = spark.createDataFrame(
         [(i, 1) for i in range(40)] + [(i, 0) for i in range(40, 80)] + [(None, 1), (1, 1)], "doc_id long, toxic int"

@@ -14,8 +14,9 @@ lies below the largest bound and in a Bloom filter of the items' sketches that
 is small and of fixed size.  Candidates are then verified on exact shingles.
 
 Words are runs of letters and digits in lower case.  An item of fewer words
-than a shingle is one shingle of all its words and is found in documents of
-just these words.
+than a shingle is one shingle of all its words.  For the word counts that such
+items have, documents are cut into windows of that many words too, so these
+items are found wherever their words stand in a row.
 
 Defined results: null or empty texts and items are never found; items that
 share an id are items of their own; documents that share an id are judged
@@ -25,6 +26,8 @@ further columns may have any name.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,16 +57,32 @@ def _starts(of: Column, size: int) -> Column:
     return F.when(F.size(of) > 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
 
 
-def shingle_texts(of: Column, size: int = SIZE) -> Column:
-    """The distinct shingles of a word array as strings."""
-    made = F.transform(_starts(of, size), lambda i: F.concat_ws(" ", *_window(of, i, size)))
-    return F.array_distinct(made)
+def _shorter(of: Column, n: int, made: Column) -> Column:
+    """Distinct windows of ``n`` words, of which there are none but the text's own shingle if it has no more words."""
+    return F.when(F.size(of) > n, F.array_distinct(made)).otherwise(F.slice(made, 1, 0))
+
+
+def shingle_texts(of: Column, size: int = SIZE, short: Sequence[int] = ()) -> Column:
+    """The distinct shingles of a word array as strings, with its windows of each number of words in ``short``."""
+
+    def made(n: int) -> Column:
+        return F.transform(_starts(of, n), lambda i: F.concat_ws(" ", *_window(of, i, n)))
 
+    texts = F.array_distinct(made(size))
+    return F.concat(texts, *[_shorter(of, n, made(n)) for n in short]) if short else texts
 
-def shingle_hashes(of: Column, size: int = SIZE) -> Column:
-    """A hash in [0, WIDTH) for each shingle in order; missing words of a short text hash as nothing."""
+
+def shingle_hashes(of: Column, size: int = SIZE, short: Sequence[int] = ()) -> Column:
+    """A hash in [0, WIDTH) for each shingle in order, then for each window of a number of words in ``short``.
+
+    Missing words of a short text hash as nothing, so an item of few words has the hash of its window.
+    """
     mask = F.lit(WIDTH - 1).cast("bigint")
-    return F.transform(_starts(of, size), lambda i: F.xxhash64(*_window(of, i, size)).bitwiseAND(mask))
+
+    def made(n: int) -> Column:
+        return F.transform(_starts(of, n), lambda i: F.xxhash64(*_window(of, i, n)).bitwiseAND(mask))
+
+    return F.concat(made(size), *[_shorter(of, n, made(n)) for n in short]) if short else made(size)
 
 
 def _bound(count: Column, sketch: int) -> Column:
@@ -99,12 +118,14 @@ def find_passages(
     kept = stored(items(benchmark, item_col, item_text_col, size, sketch), "items")
     sketches = kept.select("item", "bound", F.explode(F.array_distinct(shingle_hashes(F.col("w"), size))).alias("h"))
     sketches = stored(sketches.where(F.col("h") < F.col("bound")).select("item", "h"), "sketches")
-    largest = kept.agg(F.coalesce(F.max("bound"), F.lit(0)).alias("bound")).first()["bound"]
+    few = F.when(F.size("w") < size, F.size("w"))
+    known = kept.agg(F.coalesce(F.max("bound"), F.lit(0)).alias("bound"), F.collect_set(few).alias("short")).first()
+    largest, short = known["bound"], sorted(known["short"])
 
     texts = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text"))
     texts = texts.select("id", "text", F.xxhash64("text").alias("text_hash"))
     listed = texts.select("id", "text_hash", words(F.col("text")).alias("w"))
-    hashed = listed.select("id", "text_hash", F.explode(shingle_hashes(F.col("w"), size)).alias("h"))
+    hashed = listed.select("id", "text_hash", F.explode(shingle_hashes(F.col("w"), size, short)).alias("h"))
     # the filter's broadcast is bounded; a shingle that passes it falsely finds no sketch in the join
     low = hashed.where(F.col("h") < F.lit(largest))
     hits = bloom.mark(low, F.col("h"), bloom.build(sketches, F.col("h"))).where("possible").drop("possible")
@@ -118,7 +139,7 @@ def find_passages(
     ).dropDuplicates(["text_id", "hash_of"])
     wanted = pairs.groupBy("id", "text_hash").agg(F.collect_set("item").alias("found"))
     same = F.col("id").eqNullSafe(F.col("text_id")) & (F.col("text_hash") == F.col("hash_of"))
-    held = wanted.join(suspects, same).select("id", "text_hash", "found", shingle_texts(F.col("tw"), size).alias("ts"))
+    held = wanted.join(suspects, same).select("id", "text_hash", "found", shingle_texts(F.col("tw"), size, short).alias("ts"))
     both = held.select("id", "text_hash", "ts", F.explode("found").alias("of")).join(kept, F.col("of") == F.col("item"))
     shared = both.select("id", "text_hash", "item_id", "n", F.size(F.array_intersect("ts", "shingles")).alias("shared"))
     return shared.where(F.col("shared") * 100 >= F.col("n") * percent).select(
