@@ -162,6 +162,18 @@ def test_toxicity(spark, docs, empty):
     assert max(r.score for r in rows_of(toxicity.score(train, without))) < 1e-9
 
 
+def test_toxic_documents_too_rare_for_the_sample(spark):
+    """30 toxic rows among 12,000; 150 clean rows share one of their words. The samples have a few of these at most."""
+    texts = [f"vile{i % 3} nasty{i % 2} rotten awful thing number{i}" for i in range(30)]
+    texts += [f"rotten apples number{i}" for i in range(30, 180)] + [f"a fine thing number{i}" for i in range(180, 12_000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(20)], "doc_id long, toxic int")
+    model = toxicity.learn(docs, labels, unlabelled=100)
+    assert 20 / 12_000 < model.prior < 45 / 12_000
+    toxic = {r.doc_id for r in rows_of(toxicity.score(docs, model).where(F.col("score") >= toxicity.THRESHOLD))}
+    assert toxic == set(range(30))
+
+
 @pytest.fixture(scope="module")
 def codec():
     import public_tokenizers

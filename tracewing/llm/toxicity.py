@@ -10,7 +10,10 @@ averaged.  Labels of clean documents are never used as such.
 
 The fit takes samples of about ``positives`` confirmed and ``unlabelled`` other
 documents at most, drawn by a hash of the id; this bounds what reaches the
-driver, which gets their feature numbers.  Scoring reads every whole text.
+driver, which gets their feature numbers.  The class prior and the decision cut
+come from the scores of all usable rows, counted between the possible cuts by
+one aggregation, so toxic or clean documents that are too rare for a sample
+count as well.  Scoring reads every whole text.
 
 Defined results: a null or empty text has no features and a low score; ids
 label all rows that carry them; repeated labels count once, toxic if any says
@@ -46,6 +49,8 @@ LEAST_RECALL = 0.4
 LEAST_DEVIATION = 3.5
 #: How many times as frequent it must be in confirmed toxic documents as in unlabelled ones.
 LEAST_LIFT = 5
+#: Possible cuts between neighbouring scores of the samples; odd, so that one is in the middle.
+FINE = 9
 ROWS = 256
 CACHED = 200_000
 
@@ -143,9 +148,27 @@ def _cuts(weights: np.ndarray, bias: float, toxic: list[np.ndarray], other: list
     return cuts, 1 - np.searchsorted(p, cuts) / len(p), 1 - np.searchsorted(u, cuts) / len(u)
 
 
+def _finer(weights: np.ndarray, bias: float, toxic: list[np.ndarray], other: list[np.ndarray]):
+    """``FINE`` cuts in each gap between the samples' raw scores and one below all; the share of the toxic above each."""
+    p = np.sort(np.array([weights[r].sum() for r in toxic]) + bias)
+    values = np.unique(np.concatenate([p, [weights[r].sum() + bias for r in other]]))
+    gaps = np.diff(values)
+    real = gaps > 1e-6  # smaller ones come from the order of adding
+    inner = values[:-1][real, None] + gaps[real, None] * (np.arange(1, FINE + 1) / (FINE + 1))
+    cuts = np.unique(np.concatenate([[values[0] - 1], inner.ravel()]))
+    return cuts, 1 - np.searchsorted(p, cuts) / len(p)
+
+
+def _least_bound(recall: np.ndarray, share: np.ndarray, n: int) -> float:
+    """The class prior as the least share / recall of a cut with enough recall; at least what one of ``n`` rows could be."""
+    fair = recall >= LEAST_RECALL
+    return float(np.clip((share[fair] / recall[fair]).min(), 1 / (1 + n), 0.9))
+
+
 def train(
     toxic: list[np.ndarray],
     other: list[np.ndarray],
+    count: Callable[[Model, np.ndarray], np.ndarray] | None = None,
     prior: float | None = None,
     members: int = 3,
     epochs: int = 150,
@@ -159,7 +182,10 @@ def train(
     unlabelled above a cut hold at least p * recall of the toxic, so p is at
     most their share divided by the recall, and the least such bound is taken.
     The decision is the raw value with the largest F1, its precision estimated
-    as p * recall / share of the unlabelled above it.
+    as p * recall / share of the unlabelled above it.  ``count`` gives for a
+    model and increasing raw values how many of all unlabelled rows lie below
+    the first, between neighbours and above the last; prior and decision then
+    come from these, otherwise from ``other``.
     """
     if not toxic or not other:
         return Model(np.zeros(SPACE, np.float32), -30.0)
@@ -168,22 +194,28 @@ def train(
     place = np.full(SPACE, -1)
     place[kept] = np.arange(len(kept))
     toxic, other = ([p[p >= 0] for p in (place[r] for r in rows)] for rows in (toxic, other))
+    given = prior
     if prior is None:
         prior = FIRST_PRIOR
         for _ in range(2):
             weights, bias = _fit_one(toxic, other, len(kept), prior, seed, epochs, rate, shrink)
             _, recall, share = _cuts(weights, bias, toxic, other)
-            fair = recall >= LEAST_RECALL
-            prior = float(np.clip((share[fair] / recall[fair]).min(), 1 / (1 + len(other)), 0.9))
+            prior = _least_bound(recall, share, len(other))
     fits = [_fit_one(toxic, other, len(kept), prior, seed + k, epochs, rate, shrink) for k in range(members)]
     weights, bias = np.mean([w for w, _ in fits], 0), float(np.mean([b for _, b in fits]))
+    whole = np.zeros(SPACE, np.float32)
+    whole[kept] = weights
     cuts, recall, share = _cuts(weights, bias, toxic, other)
+    if count is not None:
+        cuts, recall = _finer(whole[kept].astype(float), bias, toxic, other)
+        counts = count(Model(whole, bias), cuts)
+        share = counts[::-1].cumsum()[::-1][1:] / max(1, counts.sum())
+        if given is None:
+            prior = _least_bound(recall, share, int(counts.sum()))
     precision = np.minimum(1, prior * recall / np.maximum(share, 1e-9))
     f1 = 2 * precision * recall / np.maximum(precision + recall, 1e-9)
     best = np.flatnonzero(f1 >= f1.max() - 1e-9)
     cut = cuts[best[len(best) // 2]]
-    whole = np.zeros(SPACE, np.float32)
-    whole[kept] = weights
     return Model(whole, float(bias - cut + np.log(THRESHOLD / (1 - THRESHOLD))), prior)
 
 
@@ -237,12 +269,40 @@ def learn(
         ids = np.frombuffer(found, np.int32)
         toxic += [ids] * confirmed_row
         other += [ids] * other_row
+
+    def count(model: Model, cuts: np.ndarray) -> np.ndarray:
+        return _counts(rows.where(F.col("id").isNotNull()).select("text"), model, cuts)
+
     # an order that doesn't depend on how the rows were split
-    return train(sorted(toxic, key=bytes), sorted(other, key=bytes))
+    return train(sorted(toxic, key=bytes), sorted(other, key=bytes), count)
 
 
-def _scorer(weights: dict[int, float], bias: float) -> Callable[[list], np.ndarray]:
-    """Scores of texts; a word's telling features are looked up once."""
+def _counts(texts: DataFrame, model: Model, cuts: np.ndarray) -> np.ndarray:
+    """How many texts with different words have a raw score below the first cut, between neighbours, from the last on."""
+    sent = texts.sparkSession.sparkContext.broadcast((*_known(model), cuts))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, bias, cuts = sent.value
+        raw_scores = _raw_scorer(known, bias)
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS).column("text").to_pylist()
+                places = np.searchsorted(cuts, raw_scores(part), side="right")
+                words = (" ".join(sorted(set(_WORD.findall((t or "").lower())))) for t in part)
+                digests = [xxhash.xxh3_128_digest(w) for w in words]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(digests, pa.binary()), pa.array(places, pa.int32())], ["digest", "place"]
+                )
+
+    placed = texts.mapInArrow(run, "digest binary, place int").dropDuplicates(["digest"])
+    counts = np.zeros(len(cuts) + 1, np.int64)
+    for place, n in placed.groupBy("place").count().collect():  # bounded by the number of cuts
+        counts[place] = n
+    return counts
+
+
+def _raw_scorer(weights: dict[int, float], bias: float) -> Callable[[list], np.ndarray]:
+    """Raw scores of texts; a word's telling features are looked up once."""
     telling: dict[str, tuple[int, ...]] = {}
 
     def scores(texts: list) -> np.ndarray:
@@ -258,15 +318,25 @@ def _scorer(weights: dict[int, float], bias: float) -> Callable[[list], np.ndarr
                 if ids:
                     found.update(ids)
             raw.append(bias + sum(weights[i] for i in sorted(found)))
-        return 1 / (1 + np.exp(-np.clip(np.array(raw, float), -30, 30)))
+        return np.array(raw, float)
 
     return scores
 
 
+def _scorer(weights: dict[int, float], bias: float) -> Callable[[list], np.ndarray]:
+    """Scores of texts."""
+    raw_scores = _raw_scorer(weights, bias)
+    return lambda texts: 1 / (1 + np.exp(-np.clip(raw_scores(texts), -30, 30)))
+
+
+def _known(model: Model) -> tuple[dict[int, float], float]:
+    """The telling features' weights, of which there are at most ``SPACE``, and the bias."""
+    return {int(i): float(model.weights[i]) for i in np.flatnonzero(model.weights)}, model.bias
+
+
 def _sent(docs: DataFrame, model: Model):
-    """The telling features' weights, of which there are at most ``SPACE``, for all tasks."""
-    known = {int(i): float(model.weights[i]) for i in np.flatnonzero(model.weights)}
-    return docs.sparkSession.sparkContext.broadcast((known, model.bias))
+    """What is known of telling features, for all tasks."""
+    return docs.sparkSession.sparkContext.broadcast(_known(model))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
