@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, contamination, exact, near, pii, secrets, toxicity, urls, warc
+from . import bpe, chat, contamination, exact, near, negatives, pieces, pii, secrets, toxicity, urls, warc
 from .tables import spans_text, table
 
 ALLOW = (("com", "/"), ("www.example.com", "/en/"))
@@ -95,6 +95,17 @@ def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(docs, digests=True)
 
 
+def hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(rows.select("vec_id", moved.alias("label"), "embedding"), F.col("id") % 100 == 0)
+
+
+def sentencepiece_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    return pieces.round_trip(table(spark, sf_dir, "documents"), model)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity_scores,
     "op2_byte_bpe": byte_bpe,
@@ -106,4 +117,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": exact_dedup,
     "op9_benchmark_passages": benchmark_passages,
     "op10_personal_data": personal_data,
+    "op12_hard_negatives": hard_negatives,
+    "op13_sentencepiece": sentencepiece_ids,
 }

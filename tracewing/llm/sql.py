@@ -188,6 +188,29 @@ PERSONAL_DATA = _span_query(
     ("email", "ip", "card", "phone"),
 )
 
+HARD_NEGATIVES = """
+with r as materialized (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: floor(256 * x::double)) as v
+  from embeddings
+  where label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), scored as materialized (
+  select a.vec_id as anchor_id, c.vec_id as other_id, a.label = c.label as same,
+    list_inner_product(a.v, c.v)::bigint as score
+  from (select distinct * from r where vec_id % 100 = 0) a join r c on a.vec_id <> c.vec_id
+), positives as (
+  select anchor_id, other_id as positive_id, score as positive_score from scored where same
+  qualify row_number() over (partition by anchor_id order by score desc, other_id) <= 5
+)
+select p.anchor_id, positive_id, row_number() over w as rank, n.other_id as negative_id, positive_score,
+  n.score as negative_score
+from positives p join scored n on n.anchor_id = p.anchor_id and not n.same
+  and 80 * positive_score <= 100 * n.score and n.score <= positive_score
+window w as (partition by p.anchor_id, positive_id order by n.score desc, n.other_id)
+qualify row_number() over w <= 5
+"""
+
 ORACLES = {
     "op3_url_filter": URL_FILTER,
     "op4_warc_revisits": WARC_REVISITS,
@@ -197,4 +220,5 @@ ORACLES = {
     "op8_exact_dedup": EXACT_DEDUP,
     "op9_benchmark_passages": BENCHMARK_PASSAGES,
     "op10_personal_data": PERSONAL_DATA,
+    "op12_hard_negatives": HARD_NEGATIVES,
 }
