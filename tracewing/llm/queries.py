@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, contamination, exact, near, negatives, pieces, pii, secrets, toxicity, urls, warc
+from . import bpe, chat, contamination, exact, near, negatives, pieces, pii, secrets, structure, toxicity, urls, warc
 from .tables import spans_text, table
 
 ALLOW = (("com", "/"), ("www.example.com", "/en/"))
@@ -95,6 +95,38 @@ def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(docs, digests=True)
 
 
+def damaged(turns: DataFrame) -> DataFrame:
+    """Conversations with faults by a hash of conversation and turn; nulls of role, text and the hashed key are one space."""
+
+    def said(name: str) -> Column:
+        return F.coalesce(F.col(name).cast("string"), F.lit(" "))
+
+    fault = F.crc32(F.concat(said("conv_id"), F.lit(":"), said("turn")).cast("binary")) % 20
+    text = F.when(F.col("fault") == 1, "").when(F.col("fault") == 2, F.translate("said", ".!?", "")).otherwise(F.col("said"))
+    rows = turns.select("conv_id", "turn", said("role").alias("role"), said("text").alias("said"), fault.alias("fault"))
+    times = F.when(F.col("fault") == 3, 2).otherwise(1)
+    return rows.where("fault <> 0").select(
+        "conv_id", "turn", F.when(F.col("fault") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"),
+        F.explode(F.array_repeat(F.lit(True), times)).alias("copy"),
+    )
+
+
+def conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    repair = structure.Repair(damaged(turns))
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    audits = structure.digests(repair.edits).withColumnRenamed("conv", "of_conv")
+    every = turns.select("conv_id").distinct()
+    met = every.join(repair.conversations, F.col("conv_id").eqNullSafe(F.col("conv")), "left")
+    met = met.join(audits, F.col("conv_id").eqNullSafe(F.col("of_conv")), "left")
+    return met.select(
+        "conv_id",
+        *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in counts],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(b""), 256)).alias("repaired_sha256"),
+    )
+
+
 def hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -117,6 +149,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": exact_dedup,
     "op9_benchmark_passages": benchmark_passages,
     "op10_personal_data": personal_data,
+    "op11_conversation_repair": conversation_repair,
     "op12_hard_negatives": hard_negatives,
     "op13_sentencepiece": sentencepiece_ids,
 }
