@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 #: Bytes of text in a block.
-BLOCK = 8 << 20
+BLOCK = 16 << 20
 #: Bytes of text of the whole table for each part of the chunk table, beyond the session's shuffle partitions.
 PART = 64 << 20
 #: Rows that are Python objects at once.
@@ -53,6 +53,9 @@ ROWS = 256
 #: Symbols up to which a chunk is merged by scanning all pairs, beyond it by a heap.
 SHORT = 48
 
+#: What blocks, questions and answers are written with.
+ZSTD = pa.Codec("zstd", compression_level=4)
+
 _CUT = re.compile(f"(?<=[^{MARK}]){MARK}")
 _NEVER = float("inf")
 
@@ -184,7 +187,9 @@ def chunk_keys(text: str) -> list[str]:
 
 def _dealt(texts: Iterable[str], parts: int) -> dict[int, list[str]]:
     """The distinct chunk keys of a block's texts by part, in the order of their first place."""
-    keys = dict.fromkeys(k for t in texts for k in chunk_keys(t))
+    keys: dict[str, None] = {}
+    for text in texts:
+        keys.update(dict.fromkeys(chunk_keys(text)))
     dealt: dict[int, list[str]] = {}
     for key in keys:
         dealt.setdefault(zlib.crc32(key.encode()) % parts, []).append(key)
@@ -193,7 +198,7 @@ def _dealt(texts: Iterable[str], parts: int) -> dict[int, list[str]]:
 
 def _frozen(batch: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=ZSTD)) as writer:
         writer.write_batch(batch)
     return sink.getvalue().to_pybytes()
 
@@ -290,8 +295,8 @@ def _joined(
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART))
-    blocks = rows.mapInArrow(_pack(block_bytes), "block long, docs binary").repartition("block")
-    asked = blocks.mapInArrow(_ask(parts), "block long, part int, keys binary")
+    blocks = rows.mapInArrow(_pack(block_bytes), "block long, docs binary").repartition(parts, "block")
+    asked = blocks.mapInArrow(_ask(parts), "block long, part int, keys binary").repartition(parts, "part")
     answers = asked.groupBy("part").applyInArrow(_answer(content), "block long, part int, asked int, ids binary")
 
     def meet(block: pa.Table, answered: pa.Table) -> pa.Table:
@@ -352,14 +357,16 @@ def round_trip(
 
     def finish(model: Model, ids: pa.ChunkedArray, joined: Iterator[str]) -> pa.Table:
         sizes, digests, decoded = [], [], []
+        # an ASCII byte is a character whatever stands beside it
         plain = {str(i): t for i, t in enumerate(model.text_of) if i not in model.byte_of and i != model.unknown}
+        plain |= {str(i): chr(b) for i, b in model.byte_of.items() if b < 128}
         for said in joined:
             tokens = said.split(" ")
             sizes.append(len(tokens))
             digests.append(hashlib.sha256(said.encode()).hexdigest())
             try:
                 text = "".join(map(plain.__getitem__, tokens)).removeprefix(" ")
-            except KeyError:  # byte pieces
+            except KeyError:  # bytes of longer characters
                 text = model.decode(map(int, tokens))
             decoded.append(hashlib.sha256(text.encode()).hexdigest())
         return pa.table({"id": ids, "n_tokens": pa.array(sizes, pa.int64()), "ids_sha256": digests, "decoded_sha256": decoded})
