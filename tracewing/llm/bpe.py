@@ -22,6 +22,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import struct
 from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
@@ -31,10 +32,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words and pieces of words kept in a worker; emptied when full.
-CACHED_WORDS, CACHED_PIECES = 350_000, 250_000
-#: Token pairs kept in a worker; emptied when full.
-CACHED_PAIRS = 250_000
+#: Pieces that a task keeps in each of two generations, token pairs and tables of beginnings.
+CACHED_PIECES, CACHED_PAIRS, CACHED_HEADS = 180_000, 250_000, 100_000
+#: Characters of a text that are cut into pieces at once, up to the next word.
+AT_ONCE = 1 << 20
+#: Bytes of a beginning whose table is kept, as many pieces begin alike.
+HEAD = 6
 #: Rows of a batch that are Python objects at once.
 ROWS = 128
 
@@ -47,16 +50,62 @@ def read_ranks(content: bytes) -> dict[bytes, int]:
 
 
 class Vocabulary:
-    """Ranks with the last merge of each token and the test whether two tokens stay apart."""
+    """Ranks with the last merge of each token, the test whether two tokens stay apart, and an automaton of all tokens.
+
+    The automaton reads a piece byte by byte; each state has the chain of tokens
+    that end there, longest first, so the candidates for a prefix's last token
+    need no slices and no look-ups.
+    """
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {r: t for t, r in ranks.items()}
+        self.sizes = [0] * (max(self.bytes_of, default=0) + 1)
+        for token, rank in ranks.items():
+            self.sizes[rank] = len(token)
         self.longest = max(map(len, ranks), default=1)
-        #: Every ending of a token, with the rank where it is a token itself and -1 elsewhere.
-        self.endings = {t[i:]: -1 for t in ranks for i in range(len(t))} | ranks
         self._halves: dict[int, tuple[int, int] | None] = {}
         self._apart: dict[int, bool] = {}
+        #: Beginnings of ``HEAD`` bytes with their last tokens and the state behind them.
+        self._heads: dict[bytes, tuple[list[int], int]] = {}
+        self._build()
+
+    def _build(self) -> None:
+        """Steps keyed by state * 256 + byte; a state's fallback is that of its longest ending that begins some token."""
+        self.step: dict[int, int] = {}
+        self.fallback = [0]
+        step, levels = self.step, [[0]]
+        own = {}
+        for token, rank in self.ranks.items():
+            state = 0
+            for depth, byte in enumerate(token, 1):
+                key = state << 8 | byte
+                state = step.get(key, 0)
+                if not state:
+                    state = step[key] = len(self.fallback)
+                    self.fallback.append(0)
+                    if depth == len(levels):
+                        levels.append([])
+                    levels[depth].append(key)
+            own[state] = rank
+        #: The tokens that end in each state with their sizes, longest first.
+        self.chains: list[tuple[tuple[int, int], ...]] = [()] * len(self.fallback)
+        for level in levels[1:]:
+            for key in level:
+                parent, byte, state = key >> 8, key & 255, step[key]
+                below = self.next_state(self.fallback[parent], byte) if parent else 0
+                self.fallback[state] = below
+                rank = own.get(state)
+                shorter = self.chains[below]
+                self.chains[state] = shorter if rank is None else ((rank, self.sizes[rank]), *shorter)
+
+    def next_state(self, state: int, byte: int) -> int:
+        step, fallback = self.step, self.fallback
+        found = step.get(state << 8 | byte)
+        while found is None and state:
+            state = fallback[state]
+            found = step.get(state << 8 | byte)
+        return found or 0
 
     def halves(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes this one; the token twice for a single byte; None if no merges make it."""
@@ -104,6 +153,18 @@ class Vocabulary:
             else:
                 return True
 
+    def table(self, piece: bytes) -> list[int]:
+        """The last token of each prefix of a piece; the table of its beginning may be known already."""
+        if len(piece) <= HEAD:
+            return self._extend(piece, [], 0)[0]
+        head = piece[:HEAD]
+        known = self._heads.get(head)
+        if known is None:
+            if len(self._heads) >= CACHED_HEADS:
+                self._heads.clear()
+            known = self._heads[head] = self._extend(head, [], 0)
+        return self._extend(piece, known[0].copy(), known[1])[0]
+
     def fill(self, piece: bytes, last: list[int], stop_at: list[int] | None = None, begin_stop: int = 0) -> list[int]:
         """Extend ``last`` (the last token of each prefix so far, from length 1) to the whole piece.
 
@@ -111,42 +172,61 @@ class Vocabulary:
         filling ends once a whole longest token's length of entries from
         prefix ``begin_stop`` on agrees; the older entries follow.
         """
-        endings, apart, same = self.endings, self.apart, 0
-        shift = len(stop_at) - len(piece) if stop_at is not None else 0
-        for end in range(len(last) + 1, len(piece) + 1):
-            fitting = []
-            for begin in range(end - 1, -1, -1):
-                token = endings.get(piece[begin:end])
-                if token is None:
-                    break
-                if token >= 0:
-                    fitting.append((begin, token))
-            for begin, token in reversed(fitting):
-                if apart(last[begin - 1], token) if begin else self.halves(token) is not None:
-                    last.append(token)
-                    break
-            else:
-                raise ValueError("the vocabulary lacks single bytes")
-            if stop_at is not None and end > begin_stop:
+        state = 0
+        for byte in piece[max(0, len(last) - self.longest) : len(last)]:
+            state = self.next_state(state, byte)
+        if stop_at is None:
+            return self._extend(piece, last, state)[0]
+        shift, same = len(stop_at) - len(piece), 0
+        while len(last) < len(piece):
+            end = len(last) + 1
+            last, state = self._extend(piece[:end], last, state)
+            if end > begin_stop:
                 same = same + 1 if end + shift > 0 and stop_at[end + shift - 1] == last[-1] else 0
                 if same >= self.longest:
                     last.extend(stop_at[end + shift :])
-                    break
         return last
 
+    def _extend(self, piece: bytes, last: list[int], state: int) -> tuple[list[int], int]:
+        """``last`` up to the whole piece, and the automaton's state there; ``state`` is that behind ``last``."""
+        step, fallback, chains, known = self.step, self.fallback, self.chains, self._apart
+        begun = len(last)
+        for end, byte in enumerate(piece[begun:], begun + 1):
+            found = step.get(state << 8 | byte)
+            while found is None and state:
+                state = fallback[state]
+                found = step.get(state << 8 | byte)
+            state = found or 0
+            for token, size in chains[state]:
+                if size < end:
+                    left = last[end - size - 1]
+                    fits = known.get(left << 32 | token)
+                    if fits is None:
+                        fits = self.apart(left, token)
+                else:
+                    fits = self.halves(token) is not None
+                if fits:
+                    last.append(token)
+                    break
+            else:
+                raise ValueError("the vocabulary lacks single bytes")
+        return last, state
+
     def walk(self, piece: bytes, last: list[int]) -> list[int]:
         """The tokens of a piece, from its end back along the last tokens."""
         if piece in self.ranks:
             return [self.ranks[piece]]
-        tokens, end = [], len(piece)
+        tokens, end, sizes = [], len(piece), self.sizes
         while end:
-            tokens.append(last[end - 1])
-            end -= len(self.bytes_of[tokens[-1]])
-        return tokens[::-1]
+            token = last[end - 1]
+            tokens.append(token)
+            end -= sizes[token]
+        tokens.reverse()
+        return tokens
 
     def encode_piece(self, piece: bytes) -> list[int]:
         rank = self.ranks.get(piece)
-        return [rank] if rank is not None else self.walk(piece, self.fill(piece, []))
+        return [rank] if rank is not None else self.walk(piece, self.table(piece))
 
 
 class Piece:
@@ -215,60 +295,65 @@ class Text:
 
 
 class Bounded(dict):
-    """Text to its ids as little-endian unsigned 32-bit integers, made by ``make`` where not known; emptied when full."""
+    """Text to its ids as little-endian unsigned 32-bit integers, made by ``make`` where not known.
+
+    When it is full, its entries become the older generation, which is asked
+    before an entry is made again; so texts that come often stay.
+    """
 
     def __init__(self, make: Callable[[str], bytes], most: int):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.older = make, most, {}
 
     def __missing__(self, text: str) -> bytes:
-        ids = self.make(text)
+        ids = self.older.get(text)
+        if ids is None:
+            ids = self.make(text)
         if len(text) < 100:
             if len(self) >= self.most:
+                self.older = dict(self)
                 self.clear()
             self[text] = ids
         return ids
 
 
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Codec:
-    """Encoder and decoder of whole texts.
+    """Encoder and decoder of whole texts; one for each task, so that a worker keeps nothing between tasks.
 
     No piece reaches across a space that a character other than white space
-    follows, so texts are cut at these spaces first and the parts, most of
-    which are words seen before, are looked up.
+    follows, so a very long text is cut at such spaces first.
     """
 
     def __init__(self, content: bytes, pattern: str):
         self.vocabulary = Vocabulary(read_ranks(content))
         self.pattern = regex.compile(pattern)
-        encoded = lambda p: np.array(self.vocabulary.encode_piece(p.encode()), "<u4").tobytes()
-        self.pieces = Bounded(encoded, CACHED_PIECES)
-        self.words = Bounded(lambda w: self._cut(" " + w), CACHED_WORDS)
+        self.pieces = Bounded(self._piece, CACHED_PIECES)
         self.token = self.vocabulary.bytes_of
 
-    def _cut(self, text: str) -> bytes:
-        return b"".join([self.pieces[p] for p in self.pattern.findall(text)])
+    def _piece(self, piece: str) -> bytes:
+        return _packed(self.vocabulary.encode_piece(piece.encode()))
+
+    def _parts(self, text: str) -> Iterator[str]:
+        begin = 0
+        while begin + AT_ONCE < len(text) and (cut := WORD_STARTS.search(text, begin + AT_ONCE)):
+            yield text[begin : cut.start()]
+            begin = cut.start()
+        yield text[begin:]
 
     def encode(self, text: str) -> bytes:
-        first, *words = WORD_STARTS.split(text)
-        get = self.words.__getitem__
-        return self._cut(first) + b"".join([get(w) for w in words])
+        get, pieces = self.pieces.__getitem__, self.pattern.findall
+        if len(text) <= AT_ONCE:
+            return b"".join(map(get, pieces(text)))
+        return b"".join([b"".join(map(get, pieces(part))) for part in self._parts(text)])
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))
 
 
-_codecs: dict[str, Codec] = {}
-
-
-def _codec(content: bytes, pattern: str) -> Codec:
-    """One codec for each worker process and vocabulary."""
-    key = hashlib.sha256(content + pattern.encode()).hexdigest()
-    if key not in _codecs:
-        _codecs[key] = Codec(content, pattern)
-    return _codecs[key]
-
-
 def _in_slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, list]]:
     for batch in batches:
         for begin in range(0, batch.num_rows, ROWS):
@@ -283,7 +368,7 @@ def encode(
     content = docs.sparkSession.sparkContext.broadcast(Path(ranks_path).read_bytes())
 
     def run(batches):
-        codec = _codec(content.value, pattern)
+        codec = Codec(content.value, pattern)
         for part, texts in _in_slices(batches, "text"):
             ids = [codec.encode(t or "") for t in texts]
             ends = np.cumsum([0, *[len(i) // 4 for i in ids]]).astype("i4")
@@ -302,7 +387,7 @@ def decode(
     content = encoded.sparkSession.sparkContext.broadcast(Path(ranks_path).read_bytes())
 
     def run(batches):
-        codec = _codec(content.value, pattern)
+        codec = Codec(content.value, pattern)
         for part, ids in _in_slices(batches, "ids"):
             texts = [codec.decode(i or ()) for i in ids]
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(texts, pa.binary())], ["id", "decoded"])
@@ -319,7 +404,7 @@ def round_trip(
     content = docs.sparkSession.sparkContext.broadcast(Path(ranks_path).read_bytes())
 
     def run(batches):
-        codec = _codec(content.value, pattern)
+        codec = Codec(content.value, pattern)
         sha = hashlib.sha256
         for part, texts in _in_slices(batches, "text"):
             ids = [codec.encode(t or "") for t in texts]
