@@ -31,8 +31,8 @@ def _span_columns(kinds: tuple[str, ...]) -> list[Column]:
 
 
 def held_out(key: str) -> Column:
-    """Rows that no label may be learnt from."""
-    return F.crc32(F.col(key).cast("string").cast("binary")) % 3 == 1
+    """Rows that no label may be learnt from; never null."""
+    return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
 def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -84,6 +84,33 @@ def _flat(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([*rows, np.empty(0, np.int32)]), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
 
 
+def negative_part(p_raw: np.ndarray, u_raw: np.ndarray, prior: float) -> float:
+    """The estimated risk of the clean rows: that of the unlabelled as clean, without the share of the toxic in it."""
+    return np.logaddexp(0, u_raw).mean() - prior * np.logaddexp(0, p_raw).mean()
+
+
+def risk_gradient(
+    weights: np.ndarray, bias: float, toxic: list[np.ndarray], other: list[np.ndarray], prior: float
+) -> tuple[np.ndarray, float]:
+    """Gradient of the non-negative risk for one batch.
+
+    Where the estimated risk of the clean rows is below zero, which no true
+    risk is, the step goes the other way on that part alone.
+    """
+    p_ids, p_row = _flat(toxic)
+    u_ids, u_row = _flat(other)
+    p_raw = _sums(weights, p_ids, p_row, len(toxic)) + bias
+    u_raw = _sums(weights, u_ids, u_row, len(other)) + bias
+    p, u = (1 / (1 + np.exp(-np.clip(r, -30, 30))) for r in (p_raw, u_raw))
+    # logistic loss: toxic as clean costs log(1 + e^raw), and as toxic that less raw
+    if negative_part(p_raw, u_raw, prior) >= 0:
+        p_grad, u_grad = np.full(len(p), -prior / len(p)), u / max(1, len(u))
+    else:
+        p_grad, u_grad = prior * p / len(p), -u / max(1, len(u))
+    grad = np.bincount(p_ids, p_grad[p_row], len(weights)) + np.bincount(u_ids, u_grad[u_row], len(weights))
+    return grad, p_grad.sum() + u_grad.sum()
+
+
 def _fit_one(
     toxic: list[np.ndarray],
     other: list[np.ndarray],
@@ -105,18 +132,7 @@ def _fit_one(
         for p_part, u_part in zip(p_parts, u_parts):
             if not len(p_part):
                 p_part = rng.integers(len(toxic), size=1)
-            p_ids, p_row = _flat([toxic[i] for i in p_part])
-            u_ids, u_row = _flat([other[i] for i in u_part])
-            p_raw = _sums(weights, p_ids, p_row, len(p_part)) + bias
-            u_raw = _sums(weights, u_ids, u_row, len(u_part)) + bias
-            p, u = (1 / (1 + np.exp(-np.clip(r, -30, 30))) for r in (p_raw, u_raw))
-            # logistic loss: toxic as clean costs log(1 + e^raw), and as toxic that less raw
-            if np.logaddexp(0, u_raw).mean() >= prior * np.logaddexp(0, p_raw).mean():
-                p_grad, u_grad = np.full(len(p), -prior / len(p)), u / max(1, len(u))
-            else:
-                p_grad, u_grad = prior * p / len(p), -u / max(1, len(u))
-            grad = np.bincount(p_ids, p_grad[p_row], space) + np.bincount(u_ids, u_grad[u_row], space)
-            bias_grad = p_grad.sum() + u_grad.sum()
+            grad, bias_grad = risk_gradient(weights, bias, [toxic[i] for i in p_part], [other[i] for i in u_part], prior)
             squares += grad * grad
             bias_square += bias_grad * bias_grad
             step = rate / np.sqrt(squares)

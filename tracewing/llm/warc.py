@@ -11,6 +11,10 @@ again.  Every record begins with the version line and the archive's own
 no payload can hold it, and the reader splits files at it however large a
 payload is or whatever it contains.  Files are gzip-compressed as a whole.
 
+Other archives are read by ``read_records``, which frames records by their
+``Content-Length``, whatever version, headers, blocks and gzip members they
+have; it streams each file through one task and keeps one record at a time.
+
 Defined results: a null payload is empty; null urls give records without a
 target; a null page_id gives a record without a page number, which is never a
 payload's original unless all its copies have none, and then all are
@@ -22,7 +26,9 @@ input are not archived.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -140,6 +146,102 @@ def read_archive(spark: SparkSession, path: str, archive: str) -> DataFrame:
     return rows.withColumn("complete", F.octet_length("payload") == F.col("content_length"))
 
 
+def _fields(block: bytes) -> dict[str, str]:
+    """Named fields of a header block; names in lower case, continued lines joined, of repeated names the first."""
+    fields: dict[str, str] = {}
+    lines = block.replace(b"\r\n", b"\n").split(b"\n")
+    for line in lines:
+        text = line.decode("utf-8", "replace")
+        if text[:1] in (" ", "\t") and fields:
+            last = next(reversed(fields))
+            fields[last] = f"{fields[last]} {text.strip()}"
+        elif ":" in text:
+            name, value = text.split(":", 1)
+            fields.setdefault(name.strip().lower(), value.strip())
+    return fields
+
+
+def _header_end(content: bytes) -> tuple[int, int]:
+    """Where a header block ends and what follows it begins; (-1, -1) if it does not end."""
+    found = [(i, i + len(e)) for e in (b"\r\n\r\n", b"\n\n") if (i := content.find(e)) >= 0]
+    return min(found, default=(-1, -1))
+
+
+def _http_payload(fields: dict[str, str], block: bytes) -> bytes:
+    """What a block carries: the body behind the headers of an HTTP message, or the block itself."""
+    if not fields.get("content-type", "").replace(" ", "").lower().startswith("application/http"):
+        return block
+    _, begin = _header_end(block)
+    return block[begin:] if begin >= 0 else b""
+
+
+_SPLIT_AT = "WARC/"
+
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """Records of any WARC files: file, offset (their number there), version, fields, block, payload, complete.
+
+    ``fields`` is a map with names in lower case.  ``payload`` is the body of an
+    HTTP message, or the block.  A record whose file ends before its stated
+    length is not complete.  What stands between records is skipped.
+    """
+    # files are cut where a record may begin; a cut inside a block is undone as the stated length is not yet reached
+    raw = spark.read.option("lineSep", _SPLIT_AT).text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("at"), F.col("value").cast("binary").alias("piece"),
+    )
+    pieces = raw.repartition("file").sortWithinPartitions("file", "start", "at")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["file", "offset", "version", "fields", "block", "payload", "complete"]
+        types = [pa.string(), pa.int64(), pa.string(), pa.map_(pa.string(), pa.string()), pa.binary(), pa.binary(), pa.bool_()]
+        file, number, parts, missing, head = None, 0, [], 0, None
+
+        def record(complete: bool) -> pa.RecordBatch:
+            version, fields, length = head
+            block = b"".join(parts)[:length]
+            row = [file, number, version, list(fields.items()), block, _http_payload(fields, block), complete]
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], names)
+
+        for batch in batches:
+            for of, piece in zip(batch.column("file").to_pylist(), batch.column("piece")):
+                piece, begins = piece.as_py() or b"", True
+                if of != file:
+                    if head is not None:
+                        yield record(False)
+                    file, number, parts, missing, head = of, 0, [], 0, None
+                    begins = False  # what stands before the first mark
+                if head is not None:
+                    mark = _SPLIT_AT.encode()
+                    if missing > 0:
+                        parts.append(mark + piece)
+                        missing -= len(mark) + len(piece)
+                        if missing <= 0:
+                            yield record(True)
+                            head, number = None, number + 1
+                        continue
+                if not begins:
+                    continue
+                end, begin = _header_end(piece)
+                line, _, block = piece[:end].partition(b"\n")
+                fields = _fields(block) if end >= 0 else {}
+                length = fields.get("content-length", "")
+                if not (length.isdigit() and "warc-type" in fields):
+                    continue  # no record begins here
+                head, parts = ("WARC/" + line.strip().decode("utf-8", "replace"), fields, int(length)), [piece[begin:]]
+                missing = int(length) - len(parts[0])
+                if missing <= 0:
+                    yield record(True)
+                    head, number = None, number + 1
+        if head is not None:
+            yield record(False)
+
+    return pieces.mapInArrow(
+        run,
+        "file string, offset long, version string, fields map<string,string>, block binary, payload binary, complete boolean",
+    )
+
+
 def resolve_revisits(archived: DataFrame) -> DataFrame:
     """Facts of every archived record, a revisit's taken from the original that it refers to.
 
