@@ -1,10 +1,13 @@
 """Exact duplicates by progressive refinement: length, then prefix hash, then full hash.
 
-Each step groups narrow keys that meet map-side, and only groups with more
-than one row go on.  The survivors reach the next scan as a blocked Bloom
-filter of fixed size, so no text is shuffled and a group that holds a third of
-all rows costs one row for each task.  A key that passes the filter falsely
-forms a group of one in the next step, where it ends; the filter never decides.
+One pass over the texts writes a narrow table of keys: id, length and the hash
+of a prefix.  Lengths and then prefixes that only one row has are sorted out on
+that table; keys meet map-side, so a group that holds a third of all rows costs
+one row for each task.  What is left reaches the texts as a blocked Bloom filter
+of ids, and only texts of surviving groups are hashed as a whole.  A row that
+passes the filter falsely forms a group of one, where it ends; the filter never
+decides.  Where the digest of every text is wanted, it belongs to the first
+pass, and there is no second one.
 
 Defined results: null text counts as empty; a null doc_id sorts after all
 others and is the keeper only if its group has no other; rows that repeat both
@@ -30,23 +33,33 @@ def normalised(text: str = "text") -> Column:
     return F.regexp_replace(whole_text(text), SPACE, " ")
 
 
-def _refined(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(row, id, norm, size, prefix, possible): possible is true for every row that shares size and prefix with another."""
-    rows = packed(docs, F.col(id_col).alias("id"), normalised(text_col).alias("norm")).withColumn(
-        "size", F.octet_length("norm")
+def text_keys(docs: DataFrame, id_col: str, text_col: str, digests: bool) -> DataFrame:
+    """(id, size, prefix, digest) of every row, stored; the digest is null unless ``digests`` asks for it."""
+    rows = docs.select(F.col(id_col).alias("id"), normalised(text_col).alias("norm"))
+    keys = rows.select(
+        "id",
+        F.octet_length("norm").alias("size"),
+        F.xxhash64(F.substring("norm", 1, PREFIX)).alias("prefix"),
+        (F.sha2("norm", 256) if digests else F.lit(None).cast("string")).alias("digest"),
     )
+    return stored(keys, "text-keys")
+
+
+def surviving(keys: DataFrame) -> DataFrame:
+    """The keys whose size, and then whose size and prefix, another row has, too; few others pass falsely."""
     several = F.col("n") > 1
-    sizes = rows.groupBy("size").agg(F.count(F.lit(1)).alias("n")).where(several)
-    rows = bloom.mark(rows, F.col("size"), bloom.build(sizes, F.col("size")), "size_shared")
-    rows = rows.withColumn(
-        "prefix", F.when(F.col("size_shared"), F.xxhash64(F.substring("norm", 1, PREFIX)))
-    )
-    prefixes = (
-        rows.where("size_shared").groupBy("size", "prefix").agg(F.count(F.lit(1)).alias("n")).where(several)
-    )
+    sizes = keys.groupBy("size").agg(F.count(F.lit(1)).alias("n")).where(several)
+    rows = bloom.mark(keys, F.col("size"), bloom.build(sizes, F.col("size"))).where("possible").drop("possible")
     key = F.struct("size", "prefix")
-    rows = bloom.mark(rows, key, bloom.build(prefixes, key))
-    return rows.withColumn("possible", F.col("size_shared") & F.col("possible"))
+    prefixes = rows.groupBy("size", "prefix").agg(F.count(F.lit(1)).alias("n")).where(several)
+    return bloom.mark(rows, key, bloom.build(prefixes, key)).where("possible").drop("possible")
+
+
+def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(row, id, text, possible): possible is true for every row whose text another row may have."""
+    survivors = surviving(text_keys(docs, id_col, text_col, False))
+    rows = packed(docs, F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return bloom.mark(rows, F.col("id"), bloom.build(survivors, F.col("id")))
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
@@ -55,12 +68,16 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     The digest is made for survivors and is null for all others, unless
     ``digests`` asks for it everywhere.
     """
-    rows = _refined(docs, id_col, text_col).select(
-        "id", "size", "possible", F.when(F.col("possible") | F.lit(digests), F.sha2("norm", 256)).alias("digest")
-    )
+    if digests:
+        rows = text_keys(docs, id_col, text_col, True)
+        candidates = surviving(rows)
+    else:
+        digest = F.when(F.col("possible"), F.sha2(normalised(), 256)).alias("digest")
+        rows = _marked(docs, id_col, text_col).select("id", F.octet_length("text").alias("size"), digest)
+        rows = stored(rows, "text-digests")
+        candidates = rows.where("digest is not null")
     groups = (
-        rows.where("possible")
-        .groupBy(F.col("digest").alias("group_digest"))
+        candidates.groupBy(F.col("digest").alias("group_digest"))
         .agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"))
         .where("n > 1")
     )
@@ -80,12 +97,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without exact copies, with their columns: of equal texts, the row with the smallest id."""
-    rows = _refined(docs, id_col, text_col)
+    rows = _marked(docs, id_col, text_col)
     alone = rows.where(~F.col("possible")).select("row.*")
     order = F.struct(F.col("id").isNull(), F.col("id"))
     first = (
         rows.where("possible")
-        .groupBy(F.sha2("norm", 256).alias("full_hash"))
+        .groupBy(F.sha2(normalised(), 256).alias("full_hash"))
         .agg(F.min_by("row", order).alias("row"))
         .select("row.*")
     )
