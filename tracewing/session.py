@@ -14,11 +14,22 @@ SESSION_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.ansi.enabled": "true",
+    # JSON with repeated members is read, the last one counts
+    "spark.sql.variant.allowDuplicateKeys": "true",
     # checkpoints made here are small (keys, scores, chunk edges); drop them with their frames
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
+#: JSON whose members repeat is only read with this setting.
+REPEATED_MEMBERS = "spark.sql.variant.allowDuplicateKeys"
+
+
+def accept_repeated_members(spark: SparkSession) -> None:
+    """For sessions not made by ``build_session``: read JSON with repeated members, of which the last one counts."""
+    spark.conf.set(REPEATED_MEMBERS, "true")
+
+
 def build_session(app: str = "tracewing", master: str | None = None, **conf: str) -> SparkSession:
     """Session with the library's settings; ``conf`` overrides them (use ``__`` for a dot)."""
     builder = SparkSession.builder.appName(app)
@@ -57,6 +68,23 @@ def _scratch_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark).rstrip('/')}/tracewing/{spark.sparkContext.applicationId}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write the rows to the shared folder and read them again.
+
+    Later steps then start from files that outlive any executor, and rows that
+    two branches must agree on are computed once.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is anything at a path of any file system that Spark reads."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Remove the tables that this application wrote to its scratch paths; frames that read them end with it."""
     path = spark._jvm.org.apache.hadoop.fs.Path(_scratch_folder(spark))
