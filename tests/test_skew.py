@@ -80,3 +80,39 @@ def test_running_totals(events, descending):
     got = ranking.running_totals(counted, ["eventCode"], "eventDate", {"before": "n"}, descending).toPandas()
     got = got.sort_values(["eventCode", "eventDate"], ascending=[True, not descending])
     assert (got.groupby("eventCode").n.cumsum() - got.n == got.before).all()
+
+
+@pytest.mark.parametrize("heavy", [0, 10, 60, 1500])
+def test_heavy_keys_are_ranged_and_give_the_same(events, heavy):
+    got = skew.with_neighbours(events, ["awbNo"], ORDER, {"next_id": F.col("event_id")}, {"last_date": F.col("eventDate")}, heavy=heavy)
+    assert rows(got) == rows(plain(events, ORDER))
+
+
+def test_only_rows_of_heavy_keys_are_checkpointed(events, monkeypatch):
+    seen = []
+    monkeypatch.setattr(skew, "settle", lambda df: seen.append(df) or df.checkpoint(eager=True))
+    skew.with_neighbours(events, ["awbNo"], ORDER, {"n": F.col("event_id")}).count()
+    assert seen == []
+    skew.with_neighbours(events, ["awbNo"], ORDER, {"n": F.col("event_id")}, heavy=500).count()
+    assert [df.count() for df in seen] == [1000] and {r.awbNo for r in seen[0].select("awbNo").collect()} == {"hot"}
+
+
+@pytest.mark.parametrize("limit", [1, 7, 100, 10_000])
+def test_salted_joins_meet_every_pair_once(spark, limit):
+    left = spark.range(400).select("id", F.when(F.col("id") % 2 == 0, "hub").when(F.col("id") % 9 == 1, None).otherwise((F.col("id") % 5).cast("string")).alias("k"))
+    right = spark.range(90).select(F.col("id").alias("other"), F.when(F.col("id") % 3 == 0, "hub").otherwise((F.col("id") % 7).cast("string")).alias("k"))
+    got = skew.salted_join(left, right, "k", limit)
+    assert got.columns == ["k", "id", "other"]
+    assert rows(got) == rows(left.join(right, "k").select("k", "id", "other"))
+
+
+def test_a_hub_is_spread_over_parts(spark):
+    left, right = spark.range(1000).withColumn("k", F.lit("hub")), spark.range(3).select(F.col("id").alias("o"), F.lit("hub").alias("k"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 50)
+    try:
+        joined = skew.salted_join(left.hint("merge"), right, "k", 100)
+        parts = joined.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert joined.count() == 3000 and sum(p.n for p in parts) == 3000
