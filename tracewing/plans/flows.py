@@ -22,30 +22,34 @@ from ..operators.documents import (
     waybill_documents,
 )
 from ..operators.features import TIE_BREAKERS, delivery_features, irregularity_features
-from ..operators.jsonld import flatten_documents, rejected_documents
+from ..operators.jsonld import QUAD_FIELDS, TRIPLE_FIELDS, parse_documents, rejects, statements
 from ..operators.milestones import DELIVERY_RULES, EVENT_CODES, DeliveryRule, prepare_events
-from ..operators.stats import hash_split, shipment_rollup
+from ..operators.stats import hash_split
 from ..schema import DOCUMENTS, PUBLISH_INPUT, require_columns
+from ..session import stored
 from ..sources.readers import read_milestones_csv
 from ..sources.writers import append_parquet, write_events, write_events_csv
 
 
-def ingest(docs: DataFrame, path: str, rejects_path: str | None = None) -> None:
-    """Flatten documents and append their triples below one folder per kind of object.
+def ingest(docs: DataFrame, path: str, rejects_path: str | None = None, graphs: bool = False) -> None:
+    """Flatten documents and append their triples, or with ``graphs`` quads, below one folder per kind of object.
 
-    Documents that can't be read are appended to ``rejects_path``; without one,
-    the first of them raises an error before anything is written.
+    Documents are parsed once, into a scratch table that both results are
+    taken from.  Those that can't be read are appended to ``rejects_path``;
+    without one, the first of them raises an error before anything is written.
     """
     require_columns(docs, DOCUMENTS.fieldNames(), "ingest")
-    kinds = docs.withColumnRenamed("kind", "object_kind")
-    rejected = rejected_documents(kinds, keep=["object_kind"])
+    keep = ["object_kind"]
+    fields = QUAD_FIELDS if graphs else TRIPLE_FIELDS
+    parsed = stored(parse_documents(docs.withColumnRenamed("kind", "object_kind"), keep=keep, fields=fields), "parsed")
+    rejected = rejects(parsed, keep)
     if rejects_path:
         append_parquet(rejected, rejects_path)
     else:
         bad = rejected.first()
         if bad is not None:
             raise ValueError(f"document {bad['doc_url']} can't be read ({bad['reason']}); name a rejects_path to go on")
-    append_parquet(flatten_documents(kinds, keep=["object_kind"]), path, ["object_kind"])
+    append_parquet(statements(parsed, keep), path, keep)
 
 
 def prepare(
@@ -64,8 +68,10 @@ def prepare(
     return events
 
 
-def irregularity_training_rows(events: DataFrame, keys: Sequence[str], tie_breakers: Sequence[str] = TIE_BREAKERS) -> DataFrame:
-    return hash_split(irregularity_features(events, tie_breakers, keep=keys), keys)
+def irregularity_training_rows(
+    events: DataFrame, keys: Sequence[str], tie_breakers: Sequence[str] = TIE_BREAKERS, look_ahead: bool = True
+) -> DataFrame:
+    return hash_split(irregularity_features(events, tie_breakers, keep=keys, look_ahead=look_ahead), keys)
 
 
 def delivery_training_rows(events: DataFrame, keys: Sequence[str], tie_breakers: Sequence[str] = TIE_BREAKERS) -> DataFrame:
@@ -77,9 +83,11 @@ def train_irregularity(
     keys: Sequence[str],
     estimator: Estimator | Callable[[int], Estimator],
     tie_breakers: Sequence[str] = TIE_BREAKERS,
+    look_ahead: bool = True,
 ) -> learning.Fitted:
     """Classifier for an irregularity at the next step; ``keys`` identify a row and decide its split."""
-    return learning.train(irregularity_training_rows(events, keys, tie_breakers), learning.IRREGULARITY, estimator)
+    rows = irregularity_training_rows(events, keys, tie_breakers, look_ahead)
+    return learning.train(rows, learning.IRREGULARITY, estimator)
 
 
 def train_delivery(
@@ -97,10 +105,11 @@ def score_irregularity(
     events: DataFrame,
     model: PipelineModel,
     tie_breakers: Sequence[str] = TIE_BREAKERS,
+    look_ahead: bool = True,
 ) -> DataFrame:
     """All input columns and ``irregProbability``, in one plan: scores never leave their row."""
     rows = irregularity_features(
-        events, tie_breakers, keep=events.columns, typed=False,
+        events, tie_breakers, keep=events.columns, typed=False, look_ahead=look_ahead,
     )
     return model.transform(rows).select(*events.columns, vector_to_array("probability")[1].alias("irregProbability"))
 
@@ -126,10 +135,14 @@ def publish(
     """
     require_columns(scored, PUBLISH_INPUT, "publish")
     shipment = F.when(F.col("awbNo").isNotNull(), name_based_id(F.lit("shipment"), "awbNo"))
-    known = shipment_rollup(scored).select("awbNo").where(F.col("awbNo").isNotNull())
+    # read by several documents: what they need of the scores and of the joined pieces is made once
+    needed = ["awbNo", "eventCode", "eventDate", "departureLocation", "irregProbability"]
+    told = stored(scored.select(*needed), "published-scores")
+    known = told.select("awbNo").where(F.col("awbNo").isNotNull()).distinct()
     ids = {"shipment_id": shipment, "waybill_id": F.concat(F.lit("awb-"), F.col("awbNo"))}
     mine = known.join(pieces.select("awbNo", "piece_id", "weight"), "awbNo", "left").withColumns(ids)
-    events = scored.select(
+    mine = stored(mine, "published-pieces")
+    events = told.select(
         F.col("eventCode").alias("event_code"),
         F.col("eventDate").alias("event_ts"),
         shipment.alias("linked_id"),

@@ -5,6 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..session import path_exists, stored
 
 
 def write_events(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
@@ -27,3 +30,27 @@ def save_scored(df: DataFrame, name: str, fmt: str = "parquet") -> None:
 def write_outbox(df: DataFrame, path: str, fmt: str = "json") -> None:
     """``endpoint, kind, body`` rows below one folder per kind, ready for a sender to ship."""
     df.write.mode("overwrite").partitionBy("kind").format(fmt).save(path)
+
+
+def unsent(outbox: DataFrame, ledger_path: str) -> DataFrame:
+    """The outbox rows, with their digest, that the ledger at a path does not hold yet; equal rows are one."""
+    spark = outbox.sparkSession
+    digest = F.sha2(F.to_json(F.struct("endpoint", "kind", "body")), 256)
+    rows = outbox.withColumn("digest", digest).dropDuplicates(["digest"])
+    if not path_exists(spark, ledger_path):
+        return rows
+    sent = spark.read.schema("digest string").parquet(ledger_path)
+    return rows.join(sent, "digest", "left_anti")
+
+
+def send_once(outbox: DataFrame, path: str, ledger_path: str, run: str, fmt: str = "json") -> None:
+    """Write what was not sent before below ``path/run=<run>/kind=..`` and note its digests in the ledger.
+
+    Files come first and the ledger after them, and a run that is repeated
+    replaces its own files, so a failure between the two sends again and loses
+    nothing.  A changed object is a new body and is sent.
+    """
+    new = stored(unsent(outbox, ledger_path), "unsent")
+    out = new.select("endpoint", "kind", "body")
+    out.write.mode("overwrite").partitionBy("kind").format(fmt).save(f"{path}/run={run}")
+    new.select("digest").write.mode("append").parquet(ledger_path)
