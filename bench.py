@@ -27,7 +27,7 @@ PLAIN = (
     "prepare_events", "impute_delivery", "attach_key_id", "hours_to_next", "hot_waybill_durations",
     "irregularity_features", "pod_features", "shipment_rollup", "classification_metrics", "ranking_metrics",
     "shipment_jsonld", "event_jsonld_predicted", "publish_outbox", "train_gbt", "train_forest", "tune_forest",
-    "jsonld_ref_join",
+    "jsonld_ref_join", "permutation_importance", "train_gbt_regressor", "publish_all_kinds", "jsonld_contexts",
 )
 
 

@@ -17,7 +17,7 @@ from tracewing.operators import features, importance, jsonld, learning, metrics,
 from tracewing.operators.skew import with_neighbours
 from tracewing.plans import flows
 from tracewing.schema import RAW_MILESTONE_COLUMNS
-from tracewing.session import scratch_path
+from tracewing.session import accept_repeated_members, scratch_path
 from tracewing.sources import readers, writers
 from tracewing.streaming.append import append_available
 
@@ -709,7 +709,7 @@ def permutation_importance(spark, sf_dir):
     rows = flows.irregularity_training_rows(milestone_events(spark, sf_dir), KEYS, TIES)
     model = learning.train(rows, learning.IRREGULARITY, learning.boosted_classifier()).model
     held_out = rows.where(F.col("train_test_split") == "test").withColumn("label", F.col("statusTarget").cast("double"))
-    accuracy = lambda scored: scored.agg(F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("value"))
+    accuracy = F.avg((F.col("label") == F.col("prediction")).cast("double"))
     inputs = learning.IRREGULARITY
     columns = [*inputs.numeric, *inputs.categories, *inputs.flags]
     return importance.permutation_importance(model, held_out, columns, KEYS, accuracy)
@@ -762,6 +762,7 @@ def event_jsonld_predicted(spark, sf_dir):
 
 def _spread(documents: DataFrame) -> DataFrame:
     """The given tables are files of one row group, so one task would flatten them; files of documents need no such step."""
+    accept_repeated_members(documents.sparkSession)
     return documents.repartition(documents.sparkSession.sparkContext.defaultParallelism, "doc_url")
 
 
@@ -878,6 +879,7 @@ def publish_dangling_links(spark, sf_dir):
 )
 def flatten_rejects(spark, sf_dir):
     """Documents that can't be read are told, one by one; repeated members are read."""
+    accept_repeated_members(spark)
     n = F.col("event_id") % 5
     body = (
         F.when(n == 0, F.concat(F.lit("{broken "), "props")).when(n == 1, " ").when(n == 3, '{"@id":"z","a":1,"a":2}')
@@ -930,6 +932,79 @@ def scored_table_roundtrip(spark, sf_dir):
     return readers.read_table(spark, name)
 
 
+@query(
+    """select 'https://v.example/' || event_id doc_url, 'https://g.example/' || user_id graph, 'https://e.example/' || event_id subject,
+      p.predicate, case p.predicate when '@type' then 'type' else 'value' end kind,
+      case p.predicate when '@type' then 'https://v.example/ns#Event' else event_type end "value", null::varchar datatype
+      from events, (values ('@type'), ('https://v.example/ns#name')) p(predicate)
+    union all
+    select 'https://v.example/' || event_id, null, 'https://g.example/' || user_id, 'https://v.example/ns#keep', 'value',
+      event_id::varchar, 'http://www.w3.org/2001/XMLSchema#integer' from events"""
+)
+def jsonld_graphs(spark, sf_dir):
+    """A named graph in each document: its nodes are in it, its own members beside it."""
+    v = "https://v.example/ns#"
+    event = F.struct(
+        F.concat(F.lit("https://e.example/"), F.col("event_id").cast("string")).alias("@id"), F.lit(v + "Event").alias("@type"),
+        F.col("event_type").alias(v + "name"),
+    )
+    body = F.struct(
+        F.concat(F.lit("https://g.example/"), F.col("user_id").cast("string")).alias("@id"), F.col("event_id").alias(v + "keep"),
+        F.array(event).alias("@graph"),
+    )
+    url = F.concat(F.lit("https://v.example/"), F.col("event_id").cast("string"))
+    return jsonld.flatten_quads(_spread(table(spark, sf_dir, "events").select(url.alias("doc_url"), F.to_json(body).alias("body"))))
+
+
+@query(
+    """select 'https://v.example/' || event_id doc_url, 'https://o.example/e-' || event_id subject, p.predicate, p.kind,
+      case p.name when 'type' then 'https://v.example/ns#Event' when 'user' then 'https://o.example/users/' || user_id
+        when 'value' then "value"::varchar when 'name' then event_type else event_id::varchar end "value",
+      case p.name when 'value' then 'http://www.w3.org/2001/XMLSchema#double' when 'name' then '@en'
+        when 'number' then 'http://www.w3.org/2001/XMLSchema#integer' end datatype
+    from events, (values ('type', '@type', 'type'), ('user', 'https://v.example/ns#user', 'ref'),
+      ('value', 'https://v.example/amount#value', 'value'), ('name', 'https://v.example/ns#name', 'value'),
+      ('number', 'https://v.example/ns#number', 'value')) p(name, predicate, kind)"""
+)
+def jsonld_contexts(spark, sf_dir):
+    """Compact documents with a context: names of a vocabulary, prefixes, links, datatypes, a language, names for keywords."""
+    context = (
+        '{"@vocab":"https://v.example/ns#","@base":"https://o.example/","@language":"en","v":"https://v.example/","a":"v:amount#",'
+        '"users":"https://o.example/users/","key":"@id","kind":"@type","user":{"@id":"v:ns#user","@type":"@id"},'
+        '"value":{"@id":"a:value","@type":"http://www.w3.org/2001/XMLSchema#double"},"dropped":null}'
+    )
+    body = F.to_json(
+        F.struct(
+            F.concat(F.lit("e-"), F.col("event_id").cast("string")).alias("key"), F.lit("Event").alias("kind"),
+            F.concat(F.lit("users:"), F.col("user_id").cast("string")).alias("user"), F.col("value").cast("string").alias("value"),
+            F.col("event_type").alias("name"), F.col("event_id").alias("number"), F.lit("x").alias("dropped"),
+        )
+    )
+    whole = F.concat(F.lit('{"@context":' + context + ","), F.substr(body, F.lit(2)))
+    url = F.concat(F.lit("https://v.example/"), F.col("event_id").cast("string"))
+    return jsonld.flatten_documents(_spread(table(spark, sf_dir, "events").select(url.alias("doc_url"), whole.alias("body"))))
+
+
+@query(
+    """select 'u' || event_id doc_url, 'x' subject, p.predicate, 'value' kind,
+      case p.predicate when 'half' then (event_id + 0.5)::double::varchar when 'flag' then (event_id % 2 = 0)::varchar else event_id::varchar end "value",
+      case p.predicate when 'text' then null when 'half' then 'http://www.w3.org/2001/XMLSchema#double'
+        when 'flag' then 'http://www.w3.org/2001/XMLSchema#boolean' else 'http://www.w3.org/2001/XMLSchema#integer' end datatype
+    from events, (values ('number'), ('text'), ('half'), ('flag')) p(predicate)"""
+)
+def jsonld_scalars(spark, sf_dir):
+    """One value is one triple, however it is written: plain, with a fraction of zero, with an exponent, as @value."""
+    n = F.col("event_id").cast("string")
+    flag = (F.col("event_id") % 2 == 0).cast("string")
+    body = F.concat(
+        F.lit('{"@id":"x","number":['), n, F.lit(","), n, F.lit(".0,"), n, F.lit('e0,{"@value":'), n, F.lit('}],"text":["'), n,
+        F.lit('",{"@value":"'), n, F.lit('"}],"half":['), n, F.lit(".5,"), n, F.lit('.50,{"@value":'), n, F.lit('.5e0,"@type":"skip"}'),
+        F.lit('],"flag":['), flag, F.lit(',{"@value":'), flag, F.lit("}]}"),
+    )
+    docs_ = table(spark, sf_dir, "events").select(F.concat(F.lit("u"), n).alias("doc_url"), body.alias("body"))
+    return jsonld.flatten_documents(_spread(docs_)).where("datatype is null or datatype <> 'skip'")
+
+
 @query(with_views(f"select *, 'any' object_kind from ({st.piece_triples()})", "lines"))
 def ingest_roundtrip(spark, sf_dir):
     path = scratch_path(spark, "ingested")
@@ -944,3 +1019,6 @@ def append_stream_available_now(spark, sf_dir):
     path = scratch_path(spark, "streamed")
     append_available(stream.select("event_id", "ts", "event_type"), path, scratch_path(spark, "stream-checkpoint"))
     return spark.read.parquet(path)
+
+
+from checks import linked, modelled  # noqa: E402, F401  they register their queries

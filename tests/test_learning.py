@@ -82,3 +82,65 @@ def test_importances(fitted, events):
     table = learning.feature_importance(fitted.model, rows)
     assert table.agg(F.sum("importance")).first()[0] == pytest.approx(1.0)
     assert table.where("name = '_flag_statusBinary'").count() == 1
+
+
+def test_permutation_importance_is_one_scoring_job(spark, fitted, events):
+    rows = flows.irregularity_training_rows(events, KEYS, TIES).where("train_test_split = 'test'")
+    rows = rows.withColumn("label", F.col("statusTarget").cast("double"))
+    inputs = learning.IRREGULARITY
+    columns = [*inputs.numeric, *inputs.categories, *inputs.flags]
+    accuracy = F.avg((F.col("label") == F.col("prediction")).cast("double"))
+    tracker, group = spark.sparkContext.statusTracker(), "importance-jobs"
+    spark.sparkContext.setJobGroup(group, "importance")
+    try:
+        few = importance.permutation_importance(fitted.model, rows, columns[:2], KEYS, accuracy)
+        jobs_of_two = len(tracker.getJobIdsForGroup(group))
+        spark.sparkContext.setJobGroup(group + "-all", "importance")
+        table = importance.permutation_importance(fitted.model, rows, columns, KEYS, accuracy)
+        jobs_of_all = len(tracker.getJobIdsForGroup(group + "-all"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    # the number of jobs does not depend on the number of columns
+    assert jobs_of_all <= jobs_of_two + 2
+    found = {r.column: r for r in table.collect()}
+    assert set(found) == set(columns) and few.count() == 2
+    want = accuracy_of(fitted.model.transform(rows))
+    assert all(r.baseline == pytest.approx(want) and r.drop == pytest.approx(r.baseline - r.value) for r in found.values())
+    # the same permutation as for a single column
+    one = fitted.model.transform(importance.permute_column(rows, "eventCode", KEYS, 42))
+    assert found["eventCode"].value == pytest.approx(accuracy_of(one))
+
+
+def accuracy_of(scored):
+    return scored.agg(F.avg((F.col("label") == F.col("prediction")).cast("double"))).first()[0]
+
+
+def test_a_wrong_coefficient_is_told(spark, events):
+    rows = flows.irregularity_training_rows(events, KEYS, TIES)
+    model = learning.train(rows, learning.IRREGULARITY, learning.logistic_regression).model
+    train = learning.prepared_rows(model, rows.where("train_test_split = 'train'"), learning.IRREGULARITY)
+    assert learning.gradient_bounds(model, train).where("not within").isEmpty()
+    # the bounds do not hold on other rows than those of the fit
+    other = train.where("label = 0").limit(50).unionByName(train.where("label = 1").limit(50))
+    assert not learning.gradient_bounds(model, other).where("not within").isEmpty()
+
+
+def test_leaves_of_other_rows_do_not_match(events):
+    rows = flows.irregularity_training_rows(events, KEYS, TIES)
+    model = learning.train(rows, learning.IRREGULARITY, learning.decision_tree()).model
+    for split, same in (("train", True), ("test", False)):
+        prepared = learning.prepared_rows(model, rows.where(F.col("train_test_split") == split), learning.IRREGULARITY)
+        leaves = learning.leaf_shares(model, prepared).collect()
+        assert all(abs(r.share - r.low) < 1e-9 for r in leaves) == same
+
+
+def test_features_without_looking_ahead(events):
+    ahead = flows.irregularity_training_rows(events, KEYS, TIES)
+    behind = flows.irregularity_training_rows(events, KEYS, TIES, look_ahead=False)
+    assert ahead.columns == behind.columns
+    a = {r.event_id: r.eventDate_diff_hours for r in ahead.collect()}
+    b = {r.event_id: r.eventDate_diff_hours for r in behind.collect()}
+    assert a.keys() == b.keys() and a != b
+    assert sum(a.values()) == pytest.approx(sum(b.values()))  # every step is seen from both ends
+    model = flows.train_irregularity(events, KEYS, learning.decision_tree(), TIES, look_ahead=False).model
+    assert flows.score_irregularity(events, model, TIES, look_ahead=False).count() == events.count()

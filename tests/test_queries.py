@@ -4,6 +4,7 @@ import pytest
 
 from checks.compare import differences, duck
 from checks.queries import ORACLES, QUERIES
+from tracewing.session import stored
 
 SF = "/root/testdata/sf0.001"
 
@@ -37,7 +38,7 @@ def test_waybills_without_pieces_whatever_their_number_of_events(spark, monkeypa
     many = scored.withColumn("of", F.explode(F.sequence(F.lit(1), F.lit(300))))
     many = many.withColumn("n", F.row_number().over(Window.orderBy("of", "event_id")).cast("bigint"))
     many = many.withColumn("awbNo", F.concat(F.lit("w"), (F.col("n") % 20).cast("string"))).withColumn("event_id", F.col("n"))
-    many = many.drop("of", "n").localCheckpoint()
+    many = stored(many.drop("of", "n"), "many-events")
     monkeypatch.setattr(queries, "scored_events", lambda *_: many)
     monkeypatch.setattr(queries.flows, "publish", lambda s, pieces, names: seen.append(pieces) or publish(s, pieces, names))
     row = queries.QUERIES["publish_dangling_links"](spark, SF).first()

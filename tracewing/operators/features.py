@@ -38,6 +38,7 @@ def irregularity_features(
     tie_breakers: Sequence[str] = TIE_BREAKERS,
     keep: Sequence[str] = (),
     typed: bool = True,
+    look_ahead: bool = True,
 ) -> DataFrame:
     """Flag, next-step label, cleaned delay, calendar parts and hours to the next event.
 
@@ -45,7 +46,8 @@ def irregularity_features(
     columns when scoring).  ``typed=False`` leaves the numeric text columns as
     they came; the model's own first stage casts them again.  Hours to the next
     event look ahead of the row they describe: for a waybill's latest event
-    they are 0.
+    they are 0.  Without ``look_ahead`` the hours since the previous event take
+    their place, which are known when a row is scored.
     """
     require_columns(events, IRREGULARITY_INPUT, "irregularity features")
     carried = list(dict.fromkeys([*IRREGULARITY_INPUT, *tie_breakers, *keep]))
@@ -56,14 +58,16 @@ def irregularity_features(
         rows,
         ["awbNo"],
         ["_ts", *tie_breakers],
-        ahead={"statusTarget": F.col("statusBinary"), "_next": F.col("_ts")},
+        ahead={"statusTarget": F.col("statusBinary")} | ({"_next": F.col("_ts")} if look_ahead else {}),
+        behind={} if look_ahead else {"_next": F.col("_ts")},
     )
+    hours = hours_between("_ts", "_next") if look_ahead else hours_between("_next", "_ts")
     rows = rows.withColumns(
         {f"eventDate_{part}": read(F.col("_ts")) for part, read in CALENDAR_PARTS.items()}
         | {
             "delay_h": clean_delay("delay"),
             "statusTarget": F.coalesce("statusTarget", F.lit(0)),
-            "eventDate_diff_hours": F.coalesce(hours_between("_ts", "_next"), F.lit(0.0)),
+            "eventDate_diff_hours": F.coalesce(hours, F.lit(0.0)),
         }
     )
     if typed:

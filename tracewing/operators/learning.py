@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -10,8 +11,9 @@ from pyspark.ml import Estimator, PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import shared_folder
@@ -211,6 +213,134 @@ def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
+# --- what must hold of fitted models --------------------------------------------------------------------------------
+
+
+def prepared_rows(model: PipelineModel, rows: DataFrame, inputs: Inputs, keep: Sequence[str] = ()) -> DataFrame:
+    """``features``, ``label`` and the kept columns of the rows that have a label, by the model's own feature stages."""
+    labelled = rows.withColumn(LABEL, F.col(inputs.target).cast("double")).where(F.col(LABEL).isNotNull())
+    return PipelineModel(model.stages[:-1]).transform(labelled).select(*keep, FEATURES, LABEL)
+
+
+def leaf_shares(model: PipelineModel, prepared: DataFrame) -> DataFrame:
+    """``leaf, n, positives, share, low, high``: the training rows of each leaf, and the probabilities the model gives them.
+
+    For one tree fitted without resampling, a leaf's probability is its share
+    of positive rows.  For more trees a leaf is the combination of all.
+    """
+    fitted = model.stages[-1].copy()
+    fitted.setLeafCol("_leaf")
+    scored = fitted.transform(prepared.select(FEATURES, LABEL))
+    probability = vector_to_array("probability")[1]
+    rows = scored.select(F.md5(F.col("_leaf").cast("string")).alias("leaf"), LABEL, probability.alias("_p"))
+    return rows.groupBy("leaf").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(LABEL).cast("bigint").alias("positives"), F.avg(LABEL).alias("share"),
+        F.min("_p").alias("low"), F.max("_p").alias("high"),
+    )
+
+
+def saved_leaves(spark: SparkSession, path: str) -> DataFrame:
+    """``tree, leaf, share, n`` of a saved classifier of trees: each leaf's share of positive rows in its own sample.
+
+    Leaves are numbered from the left, as the model numbers them.  One row per
+    leaf, which the model's size bounds.
+    """
+    nodes = spark.read.parquet(f"{path}/stages/*RandomForest*/data").select(F.col("treeID").alias("tree"), "nodeData.*")
+    leaves = nodes.where("leftChild < 0")
+    number = F.row_number().over(Window.partitionBy("tree").orderBy("id")) - 1
+    stats = F.col("impurityStats")
+    return leaves.select("tree", number.alias("leaf"), (stats[1] / (stats[0] + stats[1])).alias("share"), F.col("rawCount").alias("n"))
+
+
+def regrouped_probabilities(model: PipelineModel, prepared: DataFrame, leaves: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``keys.., probability, mean_share``: a row's probability beside the mean share of the leaves that it falls in."""
+    fitted = model.stages[-1].copy()
+    fitted.setLeafCol("_leaf")
+    scored = fitted.transform(prepared).select(*keys, vector_to_array("probability")[1].alias("probability"), vector_to_array("_leaf").alias("_leaf"))
+    fallen = scored.select(*keys, "probability", F.posexplode("_leaf").alias("tree", "_at"))
+    joined = fallen.join(F.broadcast(leaves), (fallen["tree"] == leaves["tree"]) & (F.col("_at").cast("int") == F.col("leaf")))
+    return joined.groupBy(*keys, "probability").agg(F.avg("share").alias("mean_share"), F.count(F.lit(1)).alias("trees"))
+
+
+def losses_by_round(model: PipelineModel, prepared: DataFrame) -> list[float]:
+    """The loss of a boosted model on the rows after each of its rounds."""
+    fitted = model.stages[-1]
+    rows = prepared.select(FEATURES, LABEL)
+    return fitted.evaluateEachIteration(rows, "squared") if isinstance(fitted, GBTRegressionModel) else fitted.evaluateEachIteration(rows)
+
+
+def loss_beside_constant(model: PipelineModel, prepared: DataFrame) -> DataFrame:
+    """One row ``n, loss, constant_loss``: the mean loss on the rows, and that of the best constant.
+
+    Log loss for classifiers, squared error for regressors, in one aggregate.
+    """
+    scored = model.stages[-1].transform(prepared)
+    y = F.col(LABEL)
+    if "probability" in scored.columns:
+        tiny = 1e-15
+        p = F.greatest(F.least(vector_to_array("probability")[1], F.lit(1 - tiny)), F.lit(tiny))
+        loss = F.avg(-(y * F.log(p) + (1 - y) * F.log(1 - p)))
+        share = F.greatest(F.least(F.avg(y), F.lit(1 - tiny)), F.lit(tiny))
+        constant = -(F.avg(y) * F.log(share) + (1 - F.avg(y)) * F.log(1 - share))
+    else:
+        loss = F.avg((F.col("prediction") - y) * (F.col("prediction") - y))
+        constant = F.var_pop(y)
+    return scored.agg(F.count(F.lit(1)).alias("n"), loss.alias("loss"), constant.alias("constant_loss"))
+
+
+def slot_names(model: PipelineModel, rows: DataFrame) -> dict[int, str]:
+    """The name of each position of the feature vector: input, and category where it is one of several."""
+    meta = PipelineModel(model.stages[:-1]).transform(rows.limit(0)).schema[FEATURES].metadata["ml_attr"]["attrs"]
+    names = {a["idx"]: a["name"] for group in meta.values() for a in group}
+    return {i: re.sub(r"^_(num|flag|hot)_", "", n) for i, n in names.items()}
+
+
+def vector_long(prepared: DataFrame, names: dict[int, str], keys: Sequence[str]) -> DataFrame:
+    """``keys.., slot, value``: the positions of the feature vector that are not 0, by name.
+
+    The names are a table with one row for each position, which the vector's
+    own length bounds.
+    """
+    spark = prepared.sparkSession
+    table = spark.createDataFrame(sorted(names.items()), "_at int, slot string")
+    entries = prepared.select(*keys, F.posexplode(vector_to_array(FEATURES)).alias("_at", "value")).where("value <> 0")
+    return entries.join(F.broadcast(table), "_at").select(*keys, "slot", "value")
+
+
+def gradient_bounds(model: PipelineModel, prepared: DataFrame, tolerance: float = 1e-3) -> DataFrame:
+    """``position, coefficient, gradient, within`` of a logistic model at its coefficients, the intercept as position -1.
+
+    The gradient of the mean loss comes from one pass over the training rows.
+    At the optimum of an elastic net it balances the penalty: exactly where a
+    coefficient is not 0, and within the L1 part where it is.
+    """
+    fitted = model.stages[-1]
+    strength, mix = fitted.getRegParam(), fitted.getElasticNetParam()
+    p = vector_to_array("probability")[1]
+    rows = fitted.transform(prepared).select(FEATURES, LABEL, p.alias("_p"))
+    # sums with weights that are not negative: predicted shares of negative rows, missing shares of positive ones
+    weight = F.abs(F.col("_p") - F.col(LABEL))
+    sums = rows.groupBy(LABEL).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(weight).alias("w"),
+        Summarizer.metrics("sum").summary(F.col(FEATURES), weight).alias("s"),
+    ).select(LABEL, "n", "w", vector_to_array("s.sum").alias("sum")).collect()  # one row per class
+    n = sum(r["n"] for r in sums)
+    total, intercept = [0.0] * len(fitted.coefficients), 0.0
+    for r in sums:
+        sign = -1.0 if r[LABEL] == 1 else 1.0
+        intercept += sign * r["w"] / n
+        total = [t + sign * x / n for t, x in zip(total, r["sum"])]
+    rows_out = [(-1, float(fitted.intercept), intercept, abs(intercept) <= tolerance)]
+    for i, (w, g) in enumerate(zip(fitted.coefficients.toArray().tolist(), total)):
+        if w:
+            balance = g + strength * ((1 - mix) * w + mix * (1 if w > 0 else -1))
+            within = abs(balance) <= tolerance
+        else:
+            within = abs(g) <= strength * mix + tolerance
+        rows_out.append((i, w, g, within))
+    return prepared.sparkSession.createDataFrame(rows_out, "position int, coefficient double, gradient double, within boolean")
+
+
 def feature_importance(model: PipelineModel, sample: DataFrame) -> DataFrame:
     """Importance of each input position of a tree model, with the position's name."""
     spark = sample.sparkSession
