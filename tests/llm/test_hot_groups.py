@@ -49,11 +49,11 @@ def _texts(groups, n, seed):
     return rows
 
 
-@pytest.mark.parametrize("block", [1, 4_000, 1 << 20])
+@pytest.mark.parametrize("block", [900, 8_000, 1 << 20])
 def test_groups_of_dissimilar_texts(spark, monkeypatch, block):
     """Compared in blocks of any size, links are those of all pairs, and blocks bound what meets in a task."""
     monkeypatch.setattr(near, "BLOCK", block)
-    texts = _texts(2, 40, 3)
+    texts = _texts(2, 25, 3)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in near.near_components(docs, size=1, numerator=80, denominator=100).collect()}
     sets = [set(t.split()) for t in texts]

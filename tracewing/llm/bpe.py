@@ -32,8 +32,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tables import bounded
+
 #: Pieces that a task keeps in each of two generations, token pairs and tables of beginnings.
-CACHED_PIECES, CACHED_PAIRS, CACHED_HEADS = 180_000, 250_000, 100_000
+CACHED_PIECES, CACHED_PAIRS, CACHED_HEADS = 90_000, 200_000, 40_000
 #: Characters of a text that are cut into pieces at once, up to the next word.
 AT_ONCE = 1 << 20
 #: Bytes of a beginning whose table is kept, as many pieces begin alike.
@@ -311,7 +313,7 @@ class Bounded(dict):
             ids = self.make(text)
         if len(text) < 100:
             if len(self) >= self.most:
-                self.older = dict(self)
+                self.older = self.copy()
                 self.clear()
             self[text] = ids
         return ids
@@ -355,10 +357,14 @@ class Codec:
 
 
 def _in_slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, list]]:
-    for batch in batches:
-        for begin in range(0, batch.num_rows, ROWS):
-            part = batch.slice(begin, ROWS)
-            yield part, part.column(column).to_pylist()
+    """Slices of few rows with a column as Python objects; at the end a worker gives back what it no longer uses."""
+    try:
+        for batch in batches:
+            for begin in range(0, batch.num_rows, ROWS):
+                part = batch.slice(begin, ROWS)
+                yield part, part.column(column).to_pylist()
+    finally:
+        pa.default_memory_pool().release_unused()
 
 
 def encode(
@@ -377,7 +383,7 @@ def encode(
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, token_ids array<int>").withColumnRenamed("id", id_col)
+    return bounded(rows).mapInArrow(run, f"id {kind}, token_ids array<int>").withColumnRenamed("id", id_col)
 
 
 def decode(
@@ -394,7 +400,7 @@ def decode(
 
     rows = encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, decoded binary").withColumnRenamed("id", id_col)
+    return bounded(rows).mapInArrow(run, f"id {kind}, decoded binary").withColumnRenamed("id", id_col)
 
 
 def round_trip(
@@ -424,4 +430,4 @@ def round_trip(
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     schema = f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return rows.mapInArrow(run, schema + ", token_ids array<int>" * with_ids).withColumnRenamed("id", id_col)
+    return bounded(rows).mapInArrow(run, schema + ", token_ids array<int>" * with_ids).withColumnRenamed("id", id_col)

@@ -23,6 +23,8 @@ def _star(edges: DataFrame, larger: bool) -> DataFrame:
     else:
         sides = both.where("b < a")
     least = sides.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
+    # read from files, a node with very many links can be split in the join
+    least = stored(least, "least-neighbours")
     joined = sides.join(least, F.col("a") == F.col("n"))
     if larger:
         tied = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))

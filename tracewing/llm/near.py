@@ -9,7 +9,7 @@ the threshold falls below ``MISS``; what remains is decided on the full sets.
 A bucket is never expanded into all pairs.  First each class is compared with
 its bucket's first class.  Where that leaves a group in several components, all
 classes outside the largest one are compared with the whole group, in blocks of
-bounded size: signatures and sets of two blocks meet in one task, and only
+about ``BLOCK`` bytes: signatures and sets of two blocks meet in one task, and only
 links between different components come out.  So no link between components is
 lost, and most members of a large group of near copies are compared once.
 
@@ -26,15 +26,15 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
 from .components import components
-from .tables import stored, whole_text
+from .tables import bounded, stored, whole_text
 
 #: Four values a band: a pair at similarity 0.85 misses all 32 bands once in 10^10, at 0.8 once in 10^7.
 BANDS, BAND = 32, 4
@@ -43,8 +43,8 @@ VALUES = BANDS * BAND
 BATCH = 32
 #: Posterior probability of reaching the threshold below which a pair is dropped.
 MISS = 1e-9
-#: Classes of a block where a group's components are compared with each other.
-BLOCK = 256
+#: Bytes of signatures and sets in a block where a group's components are compared with each other.
+BLOCK = 1 << 20
 ROWS = 256
 CACHED = 200_000
 
@@ -116,7 +116,7 @@ def profiles(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str =
 
     rows = _key(docs, id_col, text_col)
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.select("id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(
+    return bounded(rows.select("id", F.xxhash64("text").alias("text_hash"), "text")).mapInArrow(
         run, f"id {kind}, text_hash long, n_shingles long, class binary, signature binary"
     )
 
@@ -139,7 +139,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int, id_col: str, text_col:
                 )
 
     marked = bloom.mark(_key(docs, id_col, text_col), F.col("id"), bloom.build(wanted, F.col("rep_id")))
-    found = marked.where("possible").select("text").mapInArrow(run, "class binary, shingles binary")
+    found = bounded(marked.where("possible").select("text")).mapInArrow(run, "class binary, shingles binary")
     return found.join(wanted.select("class"), "class", "left_semi").dropDuplicates(["class"])
 
 
@@ -183,7 +183,7 @@ def _prune(pairs: DataFrame, threshold: float, miss: float) -> DataFrame:
             left, right = (_signatures(batch.column(c).to_pylist()) for c in ("sig_a", "sig_b"))
             yield batch.select(["a", "b"]).take(pa.array(_alive(left, right, looks)))
 
-    return pairs.mapInArrow(run, "a binary, b binary")
+    return bounded(pairs).mapInArrow(run, "a binary, b binary")
 
 
 def _compare_blocks(units: DataFrame, numerator: int, denominator: int, miss: float) -> DataFrame:
@@ -194,23 +194,24 @@ def _compare_blocks(units: DataFrame, numerator: int, denominator: int, miss: fl
     """
     looks = _looks(numerator / denominator, miss)
 
-    def run(unit: pd.DataFrame) -> pd.DataFrame:
-        strays, members = unit[unit.stray], unit[~unit.stray]
+    def run(unit: pa.Table) -> pa.Table:
+        strays, members = unit.filter(pc.field("stray")), unit.filter(~pc.field("stray"))
         links = []
-        if len(strays) and len(members):
-            sets = [np.frombuffer(s, np.uint64) for s in members.shingles]
+        if strays.num_rows and members.num_rows:
+            sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in members.column("shingles")]
             sizes = np.array([len(s) for s in sets])
-            owners, held = np.repeat(np.arange(len(sets)), sizes), np.concatenate(sets)
+            owners, held = np.repeat(np.arange(len(sets), dtype=np.int32), sizes), np.concatenate(sets)
             order = np.argsort(held, kind="stable")
             owners, held = owners[order], held[order]
-            right = _signatures(list(members.signature))
-            names, roots = list(members["class"]), list(members.root)
-            for name, root, sig, found in zip(strays["class"], strays.root, strays.signature, strays.shingles):
+            right = _signatures(members.column("signature").to_pylist())
+            names, roots = members.column("class").to_pylist(), members.column("root").to_pylist()
+            for stray in range(strays.num_rows):
+                name, root, sig = (strays.column(c)[stray].as_py() for c in ("class", "root", "signature"))
                 alive = _alive(np.broadcast_to(np.frombuffer(sig, "<u4"), right.shape), right, looks)
                 alive = [k for k in alive if roots[k] != root]
                 if not alive:
                     continue
-                own = np.frombuffer(found, np.uint64)
+                own = np.frombuffer(strays.column("shingles")[stray].as_buffer(), np.uint64)
                 low, high = np.searchsorted(held, own, "left"), np.searchsorted(held, own, "right")
                 matched = np.concatenate([owners[x:y] for x, y in zip(low, high) if y > x] or [np.empty(0, int)])
                 shared = np.bincount(matched, minlength=len(sets))
@@ -220,9 +221,9 @@ def _compare_blocks(units: DataFrame, numerator: int, denominator: int, miss: fl
                     if shared[k] * denominator >= union * numerator:
                         linked_to.setdefault(roots[k], names[k])
                 links += [(name, other) for other in linked_to.values()]
-        return pd.DataFrame({"a": [x for x, _ in links], "b": [y for _, y in links]}, dtype=object)
+        return pa.table({c: pa.array([link[i] for link in links], pa.binary()) for i, c in enumerate(("a", "b"))})
 
-    return units.groupBy("pivot", "i", "j").applyInPandas(run, "a binary, b binary")
+    return bounded(units).groupBy("pivot", "i", "j").applyInArrow(run, "a binary, b binary")
 
 
 def _verify(pairs: DataFrame, numerator: int, denominator: int) -> DataFrame:
@@ -239,7 +240,7 @@ def _verify(pairs: DataFrame, numerator: int, denominator: int) -> DataFrame:
             good = pa.array([similar(a.as_py(), b.as_py()) for a, b in sets], pa.bool_())
             yield batch.select(["a", "b"]).filter(good)
 
-    return pairs.mapInArrow(run, "a binary, b binary")
+    return bounded(pairs).mapInArrow(run, "a binary, b binary")
 
 
 def _beside(pairs: DataFrame, table: DataFrame, value: str, name: str) -> DataFrame:
@@ -254,24 +255,28 @@ def _beside(pairs: DataFrame, table: DataFrame, value: str, name: str) -> DataFr
 def _open_units(pairs: DataFrame, roots: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
     """What is still to compare: in groups of several components, all outside the largest one against all.
 
-    Both sides are cut into blocks of about ``BLOCK`` classes; a unit is one
-    block of each.  Classes of one component need no comparison.
+    Both sides are cut into blocks of about ``BLOCK`` bytes of signatures and
+    sets; a unit is one block of each.  Classes of one component need no
+    comparison.
     """
     rows = pairs.select("pivot", "class").unionByName(pairs.select("pivot", F.col("pivot").alias("class")).distinct())
     placed = rows.join(roots, F.col("class") == F.col("node"), "left").select(
         "pivot", "class", F.coalesce("root", "class").alias("root")
     )
-    counts = placed.groupBy("pivot", "root").agg(F.count(F.lit(1)).alias("n"))
+    weights = classes.select(F.col("class").alias("of"), (8 * F.col("n_shingles") + 4 * VALUES).alias("bytes"))
+    placed = stored(placed.join(weights, F.col("class") == F.col("of")).drop("of"), "placed-classes")
+    counts = placed.groupBy("pivot", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
     groups = counts.groupBy(F.col("pivot").alias("of")).agg(
-        F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("most")
+        F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.max(F.struct("n", "root", "bytes")).alias("most")
     )
     open_groups = groups.where("n > most.n").select(
         "of",
         F.col("most.root").alias("main"),
-        F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"),
-        F.ceil((F.col("n") - F.col("most.n")) / BLOCK).cast("int").alias("stray_blocks"),
+        F.ceil(F.col("bytes") / BLOCK).cast("int").alias("blocks"),
+        F.ceil((F.col("bytes") - F.col("most.bytes")) / BLOCK).cast("int").alias("stray_blocks"),
     )
-    left = stored(placed.join(open_groups, F.col("pivot") == F.col("of")).drop("of"), "open-groups")
+    open_groups = stored(open_groups, "open-pivots")  # read from files, a large group can be split in the join
+    left = stored(placed.join(open_groups, F.col("pivot") == F.col("of")).drop("of", "bytes"), "open-groups")
 
     def block(salt: int, blocks: str) -> Column:
         return F.pmod(F.xxhash64(F.lit(salt), "class"), F.col(blocks)).cast("int")

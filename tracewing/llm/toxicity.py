@@ -33,6 +33,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tables import bounded
+
 #: Size of the hashed feature space.
 SPACE = 1 << 18
 #: Expected sizes of the samples that the fit takes, if there are more rows.
@@ -279,7 +281,7 @@ def learn(
                     ["confirmed", "other", "features"],
                 )
 
-    sample = drawn.where("confirmed or other").mapInArrow(run, "confirmed boolean, other boolean, features binary")
+    sample = bounded(drawn.where("confirmed or other")).mapInArrow(run, "confirmed boolean, other boolean, features binary")
     toxic, other = [], []
     for confirmed_row, other_row, found in sample.collect():  # bounded by the samples' sizes
         ids = np.frombuffer(found, np.int32)
@@ -310,7 +312,7 @@ def _counts(texts: DataFrame, model: Model, cuts: np.ndarray) -> np.ndarray:
                     [pa.array(digests, pa.binary()), pa.array(places, pa.int32())], ["digest", "place"]
                 )
 
-    placed = texts.mapInArrow(run, "digest binary, place int").dropDuplicates(["digest"])
+    placed = bounded(texts).mapInArrow(run, "digest binary, place int").dropDuplicates(["digest"])
     counts = np.zeros(len(cuts) + 1, np.int64)
     for place, n in placed.groupBy("place").count().collect():  # bounded by the number of cuts
         counts[place] = n
@@ -369,7 +371,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
+    return bounded(rows).mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
 
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
@@ -383,4 +385,4 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text
                 part = batch.slice(at, ROWS)
                 yield part.filter(pa.array(scores(part.column(place).to_pylist()) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded(docs).mapInArrow(run, docs.schema)
