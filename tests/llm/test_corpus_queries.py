@@ -163,3 +163,22 @@ def test_large_group_of_near_copies_needs_no_pairs_of_all(spark):
     assert {r.doc_id: r.component_id for r in got} == expected
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
     assert {r.doc_id: r.n_shingles for r in got} == {i: len(_shingle_set(t, 3)) for i, t in rows}
+
+
+def test_short_items_equal_their_sql(spark, tmp_path):
+    """Items of one to four words stand inside longer documents, at their ends, alone and next to each other."""
+    import duckdb
+
+    docs = [
+        "one two three four five six seven", "seven one two", "two", "one", "One, TWO!", "zero one two three", "", None, "two two two two two two",
+        "x one y two z", "long item of more than five words and more", "a b c d long item of more than five words e f",
+    ]
+    items = ["one two", "two", "four five six", "two two two two", "long item of more than five words", "", "seven"]
+    spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    found = QUERIES["op9_benchmark_passages"](spark, str(tmp_path))
+    assert found.count() > 15
+    assert differences(found, ORACLES["op9_benchmark_passages"], con) is None

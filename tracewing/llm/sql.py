@@ -115,10 +115,14 @@ with cut as (
   select 'd' as side, doc_id as id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') as w from documents
   union all
   select 'i', item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') from benchmark
+), short as (select distinct len(w) as n from cut where side = 'i' and len(w) between 1 and 4
 ), shingles as materialized (
   select side, id, unnest(list_distinct(case when len(w) < 5 then [array_to_string(w, ' ')]
     else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end)) as s
   from cut where len(w) > 0
+  union all
+  select side, id, unnest(list_distinct(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))))
+  from cut, short where side = 'd' and len(w) > n
 ), sizes as (select id, count(*) as n from shingles where side = 'i' group by id)
 select d.id as doc_id, i.id as item_id, n as n_shingles, count(*) as n_shared
 from shingles d join shingles i on d.s = i.s and d.side = 'd' and i.side = 'i' join sizes on sizes.id = i.id
