@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewing.operators import documents as d
+from tracewing.session import stored
 from tracewing.sources import ordered, writers
 from tracewing.streaming import append
 
@@ -117,3 +118,17 @@ def test_a_stream_of_documents_is_read_once(spark, tmp_path):
         for _ in range(2):
             append.ingest_stream(append.jsonld_line_stream(spark.readStream.text(source), "event"), path, rejected, offsets)
         assert spark.read.parquet(path).count() == 3 * (run + 1) and spark.read.parquet(rejected).count() == run + 1
+
+
+@pytest.mark.parametrize("few", [0, 1, 100])
+def test_bodies_are_kept_once_and_sent_whichever_digests_are_few(spark, tmp_path, monkeypatch, few):
+    monkeypatch.setattr(writers, "FEW", few)
+    stores = []
+    monkeypatch.setattr(writers, "stored", lambda df, name: stores.append(df.columns) or stored(df, name))
+    path, ledger = str(tmp_path / "sent"), str(tmp_path / "ledger")
+    runs = {"r1": [("a", 1.0), ("a", 1.0), ("b", 2.0)], "r2": [("a", 1.0), ("b", 2.0)], "r3": [("a", 9.0), ("a", 9.0), ("b", 2.0), ("c", 3.0)]}
+    for run, pieces in runs.items():
+        writers.send_once(outbox(spark, pieces), path, ledger, run)
+    assert sent(spark, path) == {"r1": 2, "r3": 2}
+    assert all("body" not in columns for columns in stores)
+    assert spark.read.parquet(ledger).count() == 4
