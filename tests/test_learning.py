@@ -144,3 +144,14 @@ def test_features_without_looking_ahead(events):
     assert sum(a.values()) == pytest.approx(sum(b.values()))  # every step is seen from both ends
     model = flows.train_irregularity(events, KEYS, learning.decision_tree(), TIES, look_ahead=False).model
     assert flows.score_irregularity(events, model, TIES, look_ahead=False).count() == events.count()
+
+
+def test_leaf_shares_are_met_without_a_row_for_each_tree(spark, events, tmp_path):
+    rows = flows.irregularity_training_rows(events, ["event_id"], ["event_id"])
+    model = learning.train(rows, learning.IRREGULARITY, learning.random_forest(3)).model
+    learning.save_model(model, str(tmp_path / "forest"))
+    prepared = learning.prepared_rows(model, rows.limit(50), learning.IRREGULARITY, ["event_id"])
+    found = learning.regrouped_probabilities(model, prepared, learning.saved_leaves(spark, str(tmp_path / "forest")), ["event_id"])
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = found.collect()
+    assert len(got) == 50 and all(r.trees == 3 and abs(r.probability - r.mean_share) < 1e-9 for r in got)

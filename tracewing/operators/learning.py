@@ -253,13 +253,24 @@ def saved_leaves(spark: SparkSession, path: str) -> DataFrame:
 
 
 def regrouped_probabilities(model: PipelineModel, prepared: DataFrame, leaves: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``keys.., probability, mean_share``: a row's probability beside the mean share of the leaves that it falls in."""
+    """``keys.., probability, mean_share, trees``: a row's probability beside the mean share of the leaves that it falls in.
+
+    A row meets its leaves in its place, through one row that holds the shares
+    of the model's leaves; a row for each of its trees would be hundreds of
+    times the input.
+    """
     fitted = model.stages[-1].copy()
     fitted.setLeafCol("_leaf")
     scored = fitted.transform(prepared).select(*keys, vector_to_array("probability")[1].alias("probability"), vector_to_array("_leaf").alias("_leaf"))
-    fallen = scored.select(*keys, "probability", F.posexplode("_leaf").alias("tree", "_at"))
-    joined = fallen.join(F.broadcast(leaves), (fallen["tree"] == leaves["tree"]) & (F.col("_at").cast("int") == F.col("leaf")))
-    return joined.groupBy(*keys, "probability").agg(F.avg("share").alias("mean_share"), F.count(F.lit(1)).alias("trees"))
+    # a tree is a map from leaf to share; a tree without leaves has no place in it
+    one = leaves.groupBy("tree").agg(F.map_from_entries(F.collect_list(F.struct("leaf", "share"))).alias("shares"))
+    held = one.agg(F.map_from_entries(F.collect_list(F.struct("tree", "shares"))).alias("_shares"))
+    met = F.transform("_leaf", lambda at, tree: F.try_element_at(F.try_element_at(F.col("_shares"), tree), at.cast("int")))
+    fallen = scored.crossJoin(F.broadcast(held)).select(*keys, "probability", F.filter(met, lambda x: x.isNotNull()).alias("_met"))
+    sums = fallen.select(*keys, "probability", F.aggregate("_met", F.lit(0.0), lambda a, x: a + x).alias("_sum"), F.size("_met").cast("bigint").alias("_trees"))
+    # rows with equal keys and probability are one, with the trees of all of them
+    grouped = sums.groupBy(*keys, "probability").agg(F.sum("_sum").alias("_sum"), F.sum("_trees").alias("trees"))
+    return grouped.where("trees > 0").select(*keys, "probability", (F.col("_sum") / F.col("trees")).alias("mean_share"), "trees")
 
 
 def losses_by_round(model: PipelineModel, prepared: DataFrame) -> list[float]:
