@@ -97,3 +97,11 @@ def test_no_local_folder_on_a_cluster():
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.shared_folder(Session())
+
+
+def test_outbox_files_are_compressed(spark, tmp_path):
+    df = spark.createDataFrame([("e", "piece", "b" * 1000)], "endpoint string, kind string, body string")
+    writers.write_outbox(df, str(tmp_path / "out"))
+    assert all(f.name.endswith(".json.gz") for f in (tmp_path / "out").glob("kind=piece/part-*"))
+    writers.write_outbox(df, str(tmp_path / "orc"), "orc")
+    assert spark.read.orc(str(tmp_path / "orc")).count() == 1
