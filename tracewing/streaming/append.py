@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.jsonld import parse_documents, rejects, statements
+from ..operators.jsonld import document_rows, rejects, statements
 from ..session import stored
 
 
@@ -33,8 +33,8 @@ def write_batch(docs: DataFrame, batch: int, path: str, rejects_path: str) -> No
     A batch that comes again replaces what it wrote before.
     """
     keep = ["object_kind"]
-    parsed = stored(parse_documents(docs.withColumnRenamed("kind", "object_kind"), keep=keep), "parsed-batch")
-    statements(parsed, keep).write.mode("overwrite").partitionBy(*keep).parquet(f"{path}/batch={batch}")
+    parsed = stored(document_rows(docs.withColumnRenamed("kind", "object_kind"), keep=keep), "parsed-batch")
+    statements(parsed).write.mode("overwrite").partitionBy(*keep).parquet(f"{path}/batch={batch}")
     rejects(parsed, keep).write.mode("overwrite").parquet(f"{rejects_path}/batch={batch}")
 
 
