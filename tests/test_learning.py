@@ -155,3 +155,38 @@ def test_leaf_shares_are_met_without_a_row_for_each_tree(spark, events, tmp_path
     assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
     got = found.collect()
     assert len(got) == 50 and all(r.trees == 3 and abs(r.probability - r.mean_share) < 1e-9 for r in got)
+
+
+def test_a_forest_is_fitted_on_what_it_can_split(spark, tmp_path):
+    """Positions rarer than the smallest leaf are left out of the fit; the model still scores all rows and loads as saved."""
+    n = F.col("id")
+    rows = spark.range(4_000).select(
+        (n % 7 == 0).cast("int").alias("statusBinary"), (n % 5).cast("double").alias("total_no_of_pieces"),
+        (n % 11).cast("double").alias("eventDate_diff_hours"), (n % 13).cast("double").alias("wgt_chargeable"),
+        *[F.concat(F.lit("P"), (n % 50).cast("string")).alias(c) for c in ("arrivalLocation", "departureLocation")],
+        *[F.concat(F.lit("C"), (n % 3).cast("string")).alias(c) for c in learning.IRREGULARITY.categories if "Location" not in c],
+        F.when((n % 3 == 1) | (n % 5 == 0), 1).otherwise(0).alias("statusTarget"),
+        F.when(n % 10 < 7, "train").when(n % 10 < 9, "test").otherwise("val").alias("train_test_split"),
+    )
+    fitted = learning.train(rows, learning.IRREGULARITY, learning.random_forest(5))
+    full = PipelineModel(learning.fit_features(rows.where("train_test_split = 'train'"), learning.IRREGULARITY)).transform(rows)
+    names = learning.slot_names(fitted.model, rows).values()
+    assert not [x for x in names if "Location_P" in x or "unknown" in x]
+    assert sorted(names) == sorted([
+        "statusBinary", *learning.IRREGULARITY.numeric,
+        *[f"{c}_C{i}" for c in learning.IRREGULARITY.categories if "Location" not in c for i in range(3)],
+    ])
+    assert fitted.model.stages[-1].numFeatures == len(names) < len(full.first().features)
+    assert sum(r.example_count for r in fitted.metrics.collect()) == 4_000
+    # no tree of a forest on all positions splits on one that was left out
+    whole = learning.random_forest(20).fit(learning._labelled(full, learning.IRREGULARITY, "train_test_split").where("train_test_split = 'train'"))
+    attrs = full.schema["features"].metadata["ml_attr"]["attrs"]
+    out = [a["idx"] for a in attrs["binary"] if "Location_P" in a["name"] or "unknown" in a["name"]]
+    assert out and all(whole.featureImportances[i] == 0 for i in out)
+    learning.save_model(fitted.model, str(tmp_path / "forest"))
+    again = learning.load_model(str(tmp_path / "forest"))
+    want, got = ([r.probability[1] for r in m.transform(rows).select("probability").collect()] for m in (fitted.model, again))
+    assert want == got and len(got) == 4_000
+    # one tree without resampling keeps its positions
+    tree = learning.train(rows, learning.IRREGULARITY, learning.decision_tree()).model
+    assert tree.stages[-1].numFeatures == len(full.first().features)

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark import StorageLevel
 from pyspark.ml import Estimator, PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.ml.stat import Summarizer
@@ -161,8 +161,10 @@ def _fit_all(
                     estimator = estimator(training.count())
                 validated = estimator.hasParam("validationIndicatorCol") and estimator.isDefined("validationIndicatorCol")
                 seen = made.where(F.col(split).isin(TRAIN, VAL)) if validated else training
-                fitted = estimator.fit(seen.select(FEATURES, LABEL, "_validation"))
-                fits.append(Fitted(PipelineModel([*prepare.stages, fitted]), evaluate(fitted, made, split)))
+                slices = splittable_stages(seen, estimator)
+                fitted = estimator.fit(PipelineModel(slices).transform(seen.select(FEATURES, LABEL, "_validation")))
+                own = [*slices, fitted]
+                fits.append(Fitted(PipelineModel([*prepare.stages, *own]), evaluate(PipelineModel(own), made, split)))
             return fits
         finally:
             made.unpersist()
@@ -170,6 +172,33 @@ def _fit_all(
         kept.unpersist()
 
 
+def splittable_stages(training: DataFrame, estimator: Estimator) -> list[Transformer]:
+    """Stages that leave in ``features`` what a bootstrapped forest can split on; none for other estimators, or if that is all.
+
+    No split of a forest leaves less than ``minWeightFractionPerNode`` of the
+    training rows on either side, so a one-hot position that is rarer, or
+    missing in fewer rows, is in no split of any tree; yet each tree would count
+    it in every node that draws it.  Samples are drawn anew for each tree, so a
+    position only goes if its count is eight deviations short of that bound.
+    """
+    if not isinstance(estimator, RandomForestClassifier) or not estimator.getBootstrap():
+        return []
+    attrs = training.schema[FEATURES].metadata.get("ml_attr", {}).get("attrs", {})
+    counted = training.agg(F.count(F.lit(1)).alias("n"), Summarizer.metrics("numNonZeros").summary(F.col(FEATURES)).alias("s"))
+    n, held = counted.select("n", vector_to_array("s.numNonZeros").alias("held")).first()  # one row
+    least = estimator.getMinWeightFractionPerNode() * n
+    rare = set()
+    for at in (a["idx"] for a in attrs.get("binary", [])):
+        side = min(held[at], n - held[at])
+        if side + 8 * side**0.5 + 8 < least:
+            rare.add(at)
+    kept = [at for at in range(len(held or [])) if at not in rare]
+    if not rare or not kept:
+        return []
+    swap = f"SELECT * EXCEPT (`{FEATURES}`, `_splittable`), `_splittable` AS `{FEATURES}` FROM __THIS__"
+    return [VectorSlicer(inputCol=FEATURES, outputCol="_splittable", indices=kept), SQLTransformer(statement=swap)]
+
+
 def evaluate(model: Transformer, labelled: DataFrame, split: str = "train_test_split") -> DataFrame:
     """Metrics per split; few rows, brought back so the rows they come from can be released."""
     scored = model.transform(labelled)
