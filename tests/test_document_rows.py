@@ -80,3 +80,40 @@ def test_ingest_writes_statements_and_rejects(spark, odd, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/quads").count() == jsonld.flatten_quads(odd).count()
     with pytest.raises(ValueError, match="can't be read"):
         flows.ingest(docs, f"{tmp_path}/more")
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_members_of_small_keys_are_shuffled_once(spark):
+    n = F.col("id")
+    legs = spark.range(600).select(
+        F.concat(F.lit("b"), (n % 40).cast("string")).alias("booking_id"), F.concat(F.lit("w"), (n % 40).cast("string")).alias("waybill_id"),
+        F.when(n % 40 != 7, (n % 4).cast("int")).alias("sequence"), F.concat(F.lit("leg-"), (n % 3).cast("string")).alias("activity_id"),
+    )
+    found = d.gather_members(legs, "booking_id", ["waybill_id"], ["sequence", "activity_id"])
+    assert _plan(found).count("Exchange ") == 1 and "Join" not in _plan(found)
+    want = {}
+    for r in legs.collect():
+        want.setdefault((r.booking_id, r.waybill_id), set()).update(() if r.sequence is None else {(r.sequence, r.activity_id)})
+    got = {(r.booking_id, r.waybill_id): (r.page, r.pages, [tuple(m) for m in r.members]) for r in found.collect()}
+    assert got == {k: (0, 1, sorted(v)) for k, v in want.items()} and got["b7", "w7"][2] == []
+
+
+def test_large_and_small_keys_together(spark):
+    """Keys above and at the size of a page, a null key, repeated members, and members derived in their row."""
+    rows = [("big", i % 30) for i in range(90)] + [("repeated", 1)] * 40 + [("even", i) for i in range(10)] + [(None, 3), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, v int").withColumn("c", F.concat(F.lit("c-"), "k"))
+    derived = {"twice": lambda m: m["v"] * 2}
+    got = d.gather_members(df, "k", ["c"], ["v"], 10, derived).collect()
+    by_key = {}
+    for r in got:
+        assert r.c == (r.k and f"c-{r.k}") and [m.v for m in r.members] == sorted(m.v for m in r.members)
+        assert all(m.twice == 2 * m.v for m in r.members)
+        by_key.setdefault(r.k, []).append(r)
+    assert sorted(m.v for r in by_key["big"] for m in r.members) == list(range(30))
+    assert {r.pages for r in by_key["big"]} == {3} and 0 in {r.page for r in by_key["big"]}
+    assert {k: [(r.page, r.pages, [m.v for m in r.members]) for r in v] for k, v in by_key.items() if k != "big"} == {
+        "repeated": [(0, 1, [1])], "even": [(0, 1, list(range(10)))], None: [(0, 1, [3])], "none": [(0, 1, [])],
+    }
