@@ -1,6 +1,8 @@
 import json
 
 import pytest
+from pyspark.sql import DataFrameWriter
+from pyspark.sql import functions as F
 
 from checks.views import milestones_raw
 from tracewing import session
@@ -105,3 +107,29 @@ def test_outbox_files_are_compressed(spark, tmp_path):
     assert all(f.name.endswith(".json.gz") for f in (tmp_path / "out").glob("kind=piece/part-*"))
     writers.write_outbox(df, str(tmp_path / "orc"), "orc")
     assert spark.read.orc(str(tmp_path / "orc")).count() == 1
+
+
+def test_outbox_is_written_without_sorting_documents(spark, tmp_path, monkeypatch):
+    """Documents of a task go to a file for each kind as they come; more kinds than files are sorted and complete."""
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(name)
+    n = F.col("id").cast("string")
+    seen, save = [], DataFrameWriter.save
+    monkeypatch.setattr(DataFrameWriter, "save", lambda self, path: seen.append(int(spark.conf.get(name))) or save(self, path))
+    for kinds in (3, 2 * writers.KINDS):
+        kind = F.concat(F.lit("k"), (F.col("id") % kinds).cast("string"))
+        docs = spark.range(2_000, numPartitions=2).select(F.concat(F.lit("e"), n).alias("endpoint"), kind.alias("kind"), F.repeat(n, 50).alias("body"))
+        path = str(tmp_path / f"out{kinds}")
+        writers.write_outbox(docs, path)
+        files = [f.parent.name for f in (tmp_path / f"out{kinds}").glob("kind=*/part-*")]
+        assert len(files) == 2 * kinds and len(set(files)) == kinds
+        again = spark.read.schema("endpoint string, body string, kind string").json(path).select(docs.columns)
+        assert again.exceptAll(docs).isEmpty() and docs.exceptAll(again).isEmpty()
+    # Spark plans a sort by kind where this is 0
+    assert seen == [writers.KINDS] * 2 and spark.conf.get(name) == before
+    spark.conf.set(name, "20")
+    try:
+        writers.write_outbox(docs, path)
+        assert seen[-1] == 20 == int(spark.conf.get(name))
+    finally:
+        spark.conf.set(name, before)
