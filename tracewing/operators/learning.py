@@ -13,7 +13,7 @@ from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, Vec
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import shared_folder
@@ -281,21 +281,31 @@ def saved_leaves(spark: SparkSession, path: str) -> DataFrame:
     return leaves.select("tree", number.alias("leaf"), (stats[1] / (stats[0] + stats[1])).alias("share"), F.col("rawCount").alias("n"))
 
 
+def _shares_by_place(leaves: DataFrame) -> Column:
+    """The shares as a constant array of trees, each an array of its leaves; NULL where there is none."""
+
+    def placed(at: str, value: str) -> Column:
+        found = F.map_from_entries(F.collect_list(F.struct(F.col(at).cast("int"), value)))
+        return F.transform(F.sequence(F.lit(0), F.max(at).cast("int")), lambda i: F.try_element_at(found, i))
+
+    trees = leaves.groupBy("tree").agg(placed("leaf", "share").alias("shares"))
+    # one row, which the model's size bounds
+    return F.from_json(F.lit(trees.agg(F.to_json(placed("tree", "shares"))).first()[0] or "[]"), "array<array<double>>")
+
+
 def regrouped_probabilities(model: PipelineModel, prepared: DataFrame, leaves: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``keys.., probability, mean_share, trees``: a row's probability beside the mean share of the leaves that it falls in.
 
-    A row meets its leaves in its place, through one row that holds the shares
-    of the model's leaves; a row for each of its trees would be hundreds of
-    times the input.
+    A row meets its leaves in its place, through a constant that holds the
+    shares of the model's leaves; a row for each of its trees would be hundreds
+    of times the input, and a search among all leaves as many steps.
     """
     fitted = model.stages[-1].copy()
     fitted.setLeafCol("_leaf")
     scored = fitted.transform(prepared).select(*keys, vector_to_array("probability")[1].alias("probability"), vector_to_array("_leaf").alias("_leaf"))
-    # a tree is a map from leaf to share; a tree without leaves has no place in it
-    one = leaves.groupBy("tree").agg(F.map_from_entries(F.collect_list(F.struct("leaf", "share"))).alias("shares"))
-    held = one.agg(F.map_from_entries(F.collect_list(F.struct("tree", "shares"))).alias("_shares"))
-    met = F.transform("_leaf", lambda at, tree: F.try_element_at(F.try_element_at(F.col("_shares"), tree), at.cast("int")))
-    fallen = scored.crossJoin(F.broadcast(held)).select(*keys, "probability", F.filter(met, lambda x: x.isNotNull()).alias("_met"))
+    held = _shares_by_place(leaves)
+    met = F.transform("_leaf", lambda at, tree: F.get(F.get(held, tree), at.cast("int")))
+    fallen = scored.select(*keys, "probability", F.filter(met, lambda x: x.isNotNull()).alias("_met"))
     sums = fallen.select(*keys, "probability", F.aggregate("_met", F.lit(0.0), lambda a, x: a + x).alias("_sum"), F.size("_met").cast("bigint").alias("_trees"))
     # rows with equal keys and probability are one, with the trees of all of them
     grouped = sums.groupBy(*keys, "probability").agg(F.sum("_sum").alias("_sum"), F.sum("_trees").alias("trees"))
